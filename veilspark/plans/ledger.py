@@ -125,7 +125,7 @@ def rate_limited(requests: DataFrame, limit: int, seconds: int = 60, key: str =
     """requests with window_start and denied. A window opens at a key's first request after the last one closed; refused
     requests count too. Windows follow from each other, so a key's times are folded in order, as array of its distinct
     seconds; the count inside a window is a running number."""
-    ms = F.unix_millis("ts")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
     times = requests.groupBy(key).agg(F.sort_array(F.collect_set(ms)).alias("ts"))
 
     def step(acc: Column, t: Column) -> Column:
