@@ -53,8 +53,8 @@ def history_records(detected: DataFrame) -> DataFrame:
 
 def added(ledger: DataFrame, incoming: DataFrame, epoch: str) -> DataFrame:
     """Incoming records whose id is new, each once. Another epoch than the ledger's is an error (both have epoch)."""
-    same = F.when(F.col("epoch") == epoch, F.col("epoch")).otherwise(F.raise_error("activity was reset").cast("string"))
-    new = validated(incoming).dropDuplicates(["id"]).withColumn("epoch", same)
+    same = F.when(F.col("epoch") == epoch, F.col("id")).otherwise(F.raise_error("activity was reset").cast("string"))
+    new = validated(incoming).withColumn("id", same).dropDuplicates(["id"])  # in the key, so that no row skips it
     return new.join(ledger.select("id"), "id", "left_anti")
 
 
