@@ -3,7 +3,9 @@
 Each rule votes for a text, against it, or abstains. A text's votes are one of few patterns; expectation-maximisation
 over the patterns and their counts (all texts) estimates the share of good texts and each rule's rates of voting for
 and against among good and bad ones. The posterior probability of being good then decides, instead of every rule
-having to pass. Rules start as right in START of their votes, so that the two classes keep their meaning.
+having to pass. The start says what a rule is: its vote against is rare among good texts and common among bad ones,
+its vote for tells little. So the two classes keep their meaning. Texts of one kind of fault are found when more than
+one rule sees it; two of the rules look at symbols in different ways for that.
 
 Null texts: no words; each count is 0 and the base fails. Whole texts count, of any length; equal rows give equal
 results. An empty table gives no rows."""
@@ -20,10 +22,12 @@ from .common import stored
 # White space of the contract, as the inside of a class of Java's patterns.
 _BLANK = r" \t-\r"
 SYMBOLS = "#*$%&|<>"
-WINDOW, START, KEEP, ROUNDS = 5, 0.85, 0.5, 50
+WINDOW, KEEP, ROUNDS, PRIOR = 5, 0.5, 100, 3
+#: {vote: (rate among good, rate among bad)} at the start; it also counts as PRIOR texts of each class.
+START = {1: (0.9, 0.6), 0: (0.09, 0.1), -1: (0.01, 0.3)}
+START_SHARE = 0.8
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-NAMES = ("length", "mean_word", "symbols", "lines", "repeats", "shouting")
 
 
 def words_of(text: Column) -> Column:
@@ -31,7 +35,7 @@ def words_of(text: Column) -> Column:
 
 
 def counted(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` of docs (with the prefix `in_`), COUNTS, and upper-case and letter counts of each row."""
+    """The columns `keep` of docs (with the prefix `in_`), COUNTS, and how many letters are upper case and how many words end oddly."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*[F.col(c).alias(f"in_{c}") for c in keep], t.alias("_t"))
     rows = rows.withColumn("_w", words_of(F.col("_t")))
@@ -43,6 +47,7 @@ def counted(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         (F.char_length("_t") - F.char_length(F.translate("_t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         F.struct(F.size(lines).alias("n"), F.size(F.array_distinct(lines)).alias("d")).alias("_lines"),
         F.char_length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")).cast("bigint").alias("n_upper"),
+        F.regexp_count("_t", F.lit(rf"[^\p{{L}}\p{{N}}.,;:!?'\"\u2019\u201d\u00bb)\]{_BLANK}](?=[{_BLANK}]|\z)")).cast("bigint").alias("n_odd_ends"),
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
     )
     window = lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(WINDOW)])
@@ -52,7 +57,7 @@ def counted(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     twice = F.filter("_s", lambda x, j: same(x, F.get(F.col("_s"), j - 1)) | same(x, F.get(F.col("_s"), j + 1)))
     rows = rows.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(F.transform("_p", lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_p"), j + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return rows.select(*[F.col(f"in_{c}") for c in keep], "n_words", "word_chars", "n_symbols", (F.col("_lines.n") - F.col("_lines.d")).cast("bigint").alias("n_dup_lines"), covered.alias("n_repeat_words"), "n_upper")
+    return rows.select(*[F.col(f"in_{c}") for c in keep], "n_words", "word_chars", "n_symbols", (F.col("_lines.n") - F.col("_lines.d")).cast("bigint").alias("n_dup_lines"), covered.alias("n_repeat_words"), "n_upper", "n_odd_ends")
 
 
 def votes() -> dict[str, Column]:
@@ -63,6 +68,7 @@ def votes() -> dict[str, Column]:
         "length": vote(n < 10, n < 20),
         "mean_word": F.when(n == 0, -1).otherwise(vote((chars < 2.5 * n) | (chars > 15 * n), (chars < 3 * n) | (chars > 11 * n))),
         "symbols": vote(F.col("n_symbols") > 0.1 * n, F.col("n_symbols") > 0.03 * n),
+        "endings": vote(F.col("n_odd_ends") > 0.1 * n, F.col("n_odd_ends") > 0.03 * n),
         "lines": F.when(n == 0, 0).otherwise(vote(F.col("n_dup_lines") >= 5, F.col("n_dup_lines") > 0)),
         "repeats": F.when(n < WINDOW, 0).otherwise(vote(F.col("n_repeat_words") * 100 > 20 * n, F.col("n_repeat_words") * 100 > 5 * n)),
         "shouting": F.when(chars == 0, 0).otherwise(vote(F.col("n_upper") > 0.5 * chars, F.col("n_upper") > 0.25 * chars)),
@@ -75,21 +81,20 @@ def base_failed() -> Column:
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = ROUNDS) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """The share of good texts, and for each rule {vote: (rate among good, rate among bad)}, from patterns of votes and
-    their counts. The rates start at START of votes right and are smoothed by one text of each vote."""
-    share = 0.8
-    rates = [{1: (START * 0.9, (1 - START) * 0.9), 0: (0.1, 0.1), -1: ((1 - START) * 0.9, START * 0.9)} for _ in range(rules)]
+    their counts."""
+    share, rates = START_SHARE, [START] * rules
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
         good = [n * posterior(p, share, rates) for p, n in patterns]
-        all_good = sum(good)
-        share = (all_good + 0.8) / (total + 1)
+        share = (sum(good) + START_SHARE * PRIOR) / (total + PRIOR)
         new = []
         for r in range(rules):
-            g = {v: sum(x for x, (p, _) in zip(good, patterns, strict=True) if p[r] == v) for v in (1, 0, -1)}
-            b = {v: sum(n - x for x, (p, n) in zip(good, patterns, strict=True) if p[r] == v) for v in (1, 0, -1)}
-            prior_g, prior_b = {1: START * 3, 0: 0.3, -1: (1 - START) * 3}, {1: (1 - START) * 3, 0: 0.3, -1: START * 3}
-            sg, sb = sum(g.values()) + sum(prior_g.values()), sum(b.values()) + sum(prior_b.values())
-            new.append({v: ((g[v] + prior_g[v]) / sg, (b[v] + prior_b[v]) / sb) for v in (1, 0, -1)})
+            sums = {v: [PRIOR * a, PRIOR * b] for v, (a, b) in START.items()}
+            for x, (p, n) in zip(good, patterns, strict=True):
+                sums[p[r]][0] += x
+                sums[p[r]][1] += n - x
+            all_good, all_bad = (sum(s[i] for s in sums.values()) for i in (0, 1))
+            new.append({v: (a / all_good, b / all_bad) for v, (a, b) in sums.items()})
         rates = new
     return share, rates
 
