@@ -6,6 +6,9 @@ transducer one that follows a reporting verb, and a target transducer reads to t
 the clause. The three are composed into one table. A matched clause counts with the precision of its kind times that
 of its word, a text with the noisy-or of its clauses; isolated words outside a matched clause count nothing.
 
+A weak insult is a beginning of words that clean texts have by chance, once in a while: it counts by how many clauses'
+words begin so, and how many that is for the text's length.
+
 Insults are learned from labelled rows, beside a short list to start with: words and beginnings of words that stand in
 toxic texts and hardly ever in others, chosen by sequential covering, so that a text already explained supports no
 further one. Precisions are counted on the same rows, smoothed by priors. Training takes about SAMPLE labelled rows,
@@ -17,7 +20,7 @@ left out; of several labels of a row the highest counts. With no labelled rows t
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -31,9 +34,12 @@ SAMPLE, THRESHOLD = 20_000, 0.7
 REACH = 3
 #: A learned insult stands in so many toxic training texts that no other one explains, with at most so many clean per toxic.
 LEAST_NEW, MOST_CLEAN = 3, 0.02
+#: The same for beginnings that stand in a text twice or more: these become weak insults.
+MOST_CLEAN_TWICE = 0.3
 #: Candidates for insults that are looked at together, most frequent first.
 MOST_CANDIDATES = 20_000
-BEGINNINGS = range(4, 8)
+BEGINNINGS = range(4, 10)
+DENSE = 0.003
 
 INSULTS = "idiot moron loser scum stupid pathetic worthless disgusting imbecile dumbass asshole bastard".split()
 THREATS = "kill hurt beat destroy murder shoot stab töte töten umbringen tuer frapper matar golpear".split()
@@ -41,10 +47,10 @@ TARGETS = "you your yours yourself u ur du dich dir dein deine ihr euch tu toi t
 NEGATIONS = "not no never isn't aren't don't wasn't nicht kein keine nie niemals pas jamais nunca jamás".split()
 REPORTS = "said says called wrote quoted claims alleged sagte schrieb nannte dit disait écrit dijo llamó escribió".split()
 
-O, I, H, T, N, R = "other", "insult", "threat", "target", "negation", "report"
-CLASSES = (O, I, H, T, N, R)
+O, I, W, H, T, N, R = "other", "insult", "weak", "threat", "target", "negation", "report"
+CLASSES = (O, I, W, H, T, N, R)
 #: (toxic, clean) pseudo-counts of each kind of clause.
-PRIORS = {"insult": (8, 2), "targeted insult": (9, 1), "targeted threat": (8, 2), "negated": (1, 3), "reported": (1, 3)}
+PRIORS = {"insult": (8, 2), "targeted insult": (9, 1), "targeted threat": (8, 2), "negated": (1, 3), "reported": (1, 3), "weak": (1, 9), "weak twice": (2, 3), "weak twice, dense": (3, 2), "weak often": (2, 3), "weak often, dense": (8, 1)}
 
 _CLAUSE = re.compile(r"[^.!?;:,\n]+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
@@ -63,7 +69,7 @@ def negation() -> Transducer:
     def step(left: int, symbol: str):
         if symbol == N:
             return REACH, O
-        return max(0, left - 1), f"negated {symbol}" if left and symbol in (I, H) else symbol
+        return max(0, left - 1), f"negated {symbol}" if left and symbol in (I, W, H) else symbol
 
     return Transducer(0, step)
 
@@ -72,21 +78,21 @@ def reported_speech() -> Transducer:
     """The state is whether a reporting verb has been met."""
 
     def step(met: bool, symbol: str):
-        return met or symbol == R, f"reported {symbol}" if met and symbol in (I, H) else O if symbol == R else symbol
+        return met or symbol == R, f"reported {symbol}" if met and symbol in (I, W, H) else O if symbol == R else symbol
 
     return Transducer(False, step)
 
 
 def target() -> Transducer:
     """The state is what has been met, as a set; a clause's kind is the strongest that it allows."""
-    met_by = {T: "T", I: "I", H: "H", f"negated {I}": "n", f"negated {H}": "", f"reported {I}": "r", f"reported {H}": ""}
+    met_by = {T: "T", I: "I", W: "w", H: "H", f"negated {I}": "n", f"negated {H}": "", f"reported {I}": "r", f"reported {H}": ""}
 
     def final(met: frozenset):
         if "H" in met and "T" in met:
             return "targeted threat"
         if "I" in met:
             return "targeted insult" if "T" in met else "insult"
-        return "reported" if "r" in met else "negated" if "n" in met else None
+        return "weak" if "w" in met else "reported" if "r" in met else "negated" if "n" in met else None
 
     return Transducer(frozenset(), lambda met, symbol: (met | set(met_by.get(symbol, "")), symbol), final)
 
@@ -114,15 +120,17 @@ def composed(parts: list[Transducer], symbols: Iterable[str]) -> tuple[list[dict
 
 
 class Grammar:
-    """words: insults and their precisions; a key with a * at its end is the beginning of a word."""
+    """words: insults and their precisions; a key with a * at its end is the beginning of a word, one with ** a weak one."""
 
     def __init__(self, words: dict[str, float], kinds: dict[str, float], base: float):
+        self.weak = tuple(k[:-2] for k in words if k.endswith("**"))
+        words = {k: p for k, p in words.items() if not k.endswith("**")}
         self.words, self.kinds, self.base = words, kinds, base
         self.table, self.finals = composed([negation(), reported_speech(), target()], CLASSES)
         self.classes = {w: c for c, some in ((R, REPORTS), (N, NEGATIONS), (T, TARGETS), (H, THREATS)) for w in some}
         self.starts = {k[:-1]: p for k, p in words.items() if k.endswith("*")}
         self.lengths = sorted({len(k) for k in self.starts})
-        seeds = [re.escape(k[:-1]) for k in words if k.endswith("*")] + [re.escape(k) + r"(?![^\W_])" for k in [*(k for k in words if not k.endswith("*")), *THREATS]]
+        seeds = [*map(re.escape, self.weak)] + [re.escape(k[:-1]) for k in words if k.endswith("*")] + [re.escape(k) + r"(?![^\W_])" for k in [*(k for k in words if not k.endswith("*")), *THREATS]]
         self.seed = re.compile(r"(?<![^\W_])(?:" + "|".join(seeds) + ")")
 
     def insult(self, word: str) -> float:
@@ -130,33 +138,55 @@ class Grammar:
         return max([self.words.get(word, 0.0), *(self.starts.get(word[:n], 0.0) for n in self.lengths)])
 
     def clauses(self, text: str) -> Iterator[tuple[str, float]]:
-        """(kind, precision of its strongest insult) of each clause that the grammar matches."""
+        """(kind, weight) of each clause that the grammar matches: the precision of its strongest insult, or for a weak
+        one how many weak words it has."""
         lower = text.lower()
         seed = self.seed.search(lower)
         end = 0
         while seed:
             start = max(end, *(lower.rfind(c, end, seed.start()) + 1 for c in ".!?;:,\n"))
             clause = _CLAUSE.match(lower, start)
-            state, weight = 0, 0.0
+            state, weight, weak = 0, 0.0, 0
             for word in _WORD.findall(clause[0]):
                 p = self.insult(word)
                 weight = max(weight, p)
-                state = self.table[state][I if p else self.classes.get(word, O)]
+                is_weak = not p and word.startswith(self.weak)
+                weak += is_weak
+                state = self.table[state][I if p else W if is_weak else self.classes.get(word, O)]
             if kind := self.finals[state]:
-                yield kind, weight or 1.0
+                yield kind, weak if kind == "weak" else weight or 1.0
             end = clause.end()
             seed = self.seed.search(lower, end)
 
+    def matches(self, text: str) -> set[tuple[str, float]]:
+        """(kind, precision of its word) of what a text has; all weak clauses together are one, by count and density."""
+        found, weak = set(), 0
+        for kind, weight in self.clauses(text):
+            if kind == "weak":
+                weak += weight
+            else:
+                found.add((kind, weight))
+        if weak:
+            dense = ", dense" if weak > 1 and weak >= DENSE * len(_WORD.findall(text)) else ""
+            found.add((("weak", "weak twice", "weak often")[min(weak, 3) - 1] + dense, 1.0))
+        return found
+
     def score(self, text: str | None) -> float:
         clean = 1.0
-        for kind, weight in set(self.clauses(text or "")):
+        for kind, weight in self.matches(text or ""):
             clean *= 1 - self.kinds[kind] * weight
         return self.base if clean == 1 else 1 - clean
 
 
 def _features(text: str) -> set[str]:
-    words = set(_WORD.findall(text.lower()))
-    return words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) >= n}
+    """Words, beginnings with *, and beginnings that stand there twice or more with **."""
+    words = Counter(_WORD.findall(text.lower()))
+    begun = Counter()
+    for w, n in words.items():
+        for length in BEGINNINGS:
+            if len(w) >= length:
+                begun[w[:length]] += n
+    return {*words, *(f"{b}*" for b in begun), *(f"{b}**" for b, n in begun.items() if n > 1)}
 
 
 def prior_grammar() -> Grammar:
@@ -187,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column | None = None, key:
         yield out()
 
     counts = rows.select("y", "t").mapInArrow(counted, "f string, clean bigint, toxic bigint").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.where((F.col("toxic") >= LEAST_NEW) & (F.col("clean") <= MOST_CLEAN * F.col("toxic")))
+    counts = counts.where((F.col("toxic") >= LEAST_NEW) & (F.col("clean") <= F.when(F.col("f").endswith("**"), MOST_CLEAN_TWICE).otherwise(MOST_CLEAN) * F.col("toxic")))
     candidates = {r["f"]: (r["toxic"], r["clean"]) for r in counts.orderBy(F.desc("toxic"), "f").limit(MOST_CANDIDATES).collect()}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column | None = None, key:
         n: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k in {k for k, _ in first.clauses(t)} or {""}:
+                for k in {k for k, _ in first.matches(t)} or {""}:
                     n[k][y > 0] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([v[i] for v in n.values()], pa.int64()) for i in (0, 1))], names=["k", "clean", "toxic"])
 
@@ -220,8 +250,8 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column | None = None, key:
 
 
 def cover(toxic: list[set[str]], candidates: dict[str, tuple[int, int]], given: set[str]) -> list[str]:
-    """Candidates that explain the toxic texts one after another: each time the one in most texts not yet explained;
-    of equal ones that with fewer clean texts, then a beginning before a whole word, then the longest."""
+    """Candidates that explain the toxic texts one after another: each time the one in most texts not yet explained,
+    less the clean ones; of equal ones a whole beginning before a weak one and before a word, then the longest."""
     left = [fs for fs in toxic if not fs & given]
     chosen = []
     while True:
@@ -229,8 +259,9 @@ def cover(toxic: list[set[str]], candidates: dict[str, tuple[int, int]], given:
         for fs in left:
             for f in fs:
                 n[f] += 1
-        best = max(n, key=lambda f: (n[f], -candidates[f][1], f.endswith("*"), len(f), f), default=None)
-        if best is None or n[best] < LEAST_NEW:
+        gain = lambda f: n[f] - candidates[f][1]
+        best = max(n, key=lambda f: (gain(f), f.endswith("*") and not f.endswith("**"), f.endswith("**"), len(f), f), default=None)
+        if best is None or gain(best) < LEAST_NEW:
             return chosen
         chosen.append(best)
         left = [fs for fs in left if best not in fs]
