@@ -133,9 +133,9 @@ def test_media(spark, rows_of, odd):
     rows, folder = media.store(docs)
     for h in media.headers(media.places(rows), folder).collect():
         with tarfile.open(f"{folder.removeprefix('file://')}/{h['shard']}") as tar:
-            entry = tar.getmember(f"{h['digest']}.png")
+            entry = tar.getmember(f"{h['digest'].hex()}.png")
             assert (entry.offset_data, entry.size) == (h["offset"], h["length"])
-            assert hashlib.sha256(media.samples(io.BytesIO(tar.extractfile(entry).read()).getvalue())).hexdigest() == h["digest"]
+            assert hashlib.sha256(media.samples(io.BytesIO(tar.extractfile(entry).read()).getvalue())).digest() == h["digest"]
 
 
 def brute_fingerprint(text):

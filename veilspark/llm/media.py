@@ -83,14 +83,14 @@ class Shards:
         self.files, self.folder = fs.FileSystem.from_uri(folder)
         self.stream, self.known = None, {}
 
-    def put(self, digest: str, payload: bytes) -> tuple[str, int, int]:
+    def put(self, digest: bytes, payload: bytes) -> tuple[str, int, int]:
         if digest not in self.known:
             data = picture(payload)
             if self.stream is None or self.stream.tell() > SHARD_BYTES:
                 self.close()
                 self.name = f"{uuid.uuid4().hex}.tar"
                 self.stream = self.files.open_output_stream(f"{self.folder}/{self.name}")
-            entry = tarfile.TarInfo(f"{digest}.png")
+            entry = tarfile.TarInfo(f"{digest.hex()}.png")
             entry.size = len(data)
             self.stream.write(entry.tobuf(tarfile.USTAR_FORMAT))
             self.known[digest] = self.name, self.stream.tell(), len(data)
@@ -117,23 +117,23 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
             columns: list[list] = [[] for _ in range(5)]
             for t in b.column(1).to_pylist():
                 payload = payload_of(t)
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 for c, v in zip(columns, (len((t or "").encode()), digest, *shards.put(digest, payload)), strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, "n_bytes", "digest", "shard", "offset", "length"])
         shards.close()
 
-    return stored(src.mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, digest string, shard string, offset bigint, length bigint"), "media-rows"), folder
+    return stored(src.mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, digest binary, shard string, offset bigint, length bigint"), "media-rows"), folder
 
 
 def places(rows: DataFrame) -> DataFrame:
-    """digest and the first of the places where it is stored."""
+    """digest (its bytes) and the first of the places where it is stored."""
     return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
 
 
 _META = "width int, height int, bits int"
-_FEATURES = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+_FEATURES = "payload_bytes bigint, tail_crc32 bigint, media_sha256 binary, feature string"
 
 
 def _read(found: DataFrame, folder: str, schema: str, of) -> DataFrame:
@@ -156,23 +156,23 @@ def _read(found: DataFrame, folder: str, schema: str, of) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, *(v.cast(k) for v, k in zip(values, kinds, strict=True))], names=["digest", "shard", "offset", "length", *names])
 
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [{"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
+    kinds = [{"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
     ordered = found.select("digest", "shard", "offset", "length").repartition("shard").sortWithinPartitions("shard", "offset")
-    return ordered.mapInArrow(run, f"digest string, shard string, offset bigint, length bigint, {schema}")
+    return ordered.mapInArrow(run, f"digest binary, shard string, offset bigint, length bigint, {schema}")
 
 
-def _header(f, digest: str, offset: int, length: int) -> tuple:
+def _header(f, digest: bytes, offset: int, length: int) -> tuple:
     return header_of(f.read_at(_HEADER, offset))
 
 
-def _whole(f, digest: str, offset: int, length: int) -> tuple:
+def _whole(f, digest: bytes, offset: int, length: int) -> tuple:
     meta = _header(f, digest, offset, length)
     data = f.read_at(length, offset)
     payload = samples(data)
-    read = hashlib.sha256(payload).hexdigest()
+    read = hashlib.sha256(payload).digest()
     if read != digest:
-        raise ValueError(f"the payload {digest} reads back as {read}")
-    return *meta, len(payload), read, zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(payload)
+        raise ValueError(f"the payload {digest.hex()} reads back as {read.hex()}")
+    return *meta, len(payload), zlib.crc32(payload[-32:]), hashlib.sha256(data).digest(), difference_hash(payload)
 
 
 def headers(found: DataFrame, folder: str) -> DataFrame:
@@ -189,4 +189,9 @@ def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """key, n_bytes, the features, the metadata, and shard, offset and length of each row."""
     rows, folder = store(docs, key, text)
     found = stored(features(places(rows), folder), "media-features")
-    return rows.select(key, "n_bytes", "digest").join(found, "digest").select(key, "n_bytes", *[x.split()[0] for x in _FEATURES.split(", ")], "shard", "offset", "length", "width", "height", "bits")
+    hexed = lambda c: F.lower(F.hex(c))
+    both = rows.select(key, "n_bytes", "digest").join(found, "digest")
+    return both.select(
+        key, "n_bytes", "payload_bytes", hexed("digest").alias("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), hexed("media_sha256").alias("media_sha256"), "feature",
+        "shard", "offset", "length", "width", "height", "bits",
+    )

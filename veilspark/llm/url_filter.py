@@ -90,9 +90,8 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
 
 def matched(found: Column, rules: list) -> Column:
     """The surest of the rules that match the tokens, by an inverted index: a struct of confidence, verdict and tokens, or null."""
-    kind = "array<struct<confidence:double,verdict:string,tokens:array<string>>>"
     if not rules:
-        return F.array().cast(kind)[0]
+        return F.lit(None).cast("struct<confidence:double,verdict:string,tokens:array<string>>")
     index: dict[str, list] = {}
     for r in rules:
         index.setdefault(r["tokens"][0], []).append(r)
