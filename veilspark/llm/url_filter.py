@@ -65,7 +65,9 @@ def tokens(url: Column) -> Column:
         ("query", F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, r"\A([^=]*)", 1))),
         ("part", F.array(F.when(u.contains("#"), "fragment").otherwise(""))),
     )
-    named = F.concat(*[F.transform(F.filter(c, lambda x: x != ""), lambda x, k=k: F.concat(F.lit(f"{k}:"), x)) for k, c in kinds])
+    # a lambda of two parameters would get the place as its second one
+    under = lambda kind: lambda x: F.concat(F.lit(f"{kind}:"), x)
+    named = F.concat(*[F.transform(F.filter(c, lambda x: x != ""), under(kind)) for kind, c in kinds])
     return F.when(F.size(named) > 0, F.array_distinct(named)).otherwise(F.array(F.lit("none")))
 
 
