@@ -2,7 +2,7 @@
 
 A labelled page's URL becomes a set of tokens (scheme, host, domains, path segments without digits, extension, query
 keys, fragment); Spark's FP-growth mines the sets together with the class of the page. A rule `tokens -> class` is
-kept when its confidence and lift are high enough, and none of its parts alone has that confidence (pruning). Kept
+kept when its confidence and lift are high enough, and no part of it, of any size, has that confidence (pruning). Kept
 rules stand in an inverted index under their first token: a URL looks up its own tokens only, and a rule matches when
 all its tokens are there. The surest matching rule decides; without one the page is allowed.
 
@@ -25,7 +25,7 @@ from .common import ascii_lower
 
 #: (verdict, host, path), as `host` + `path` in results.
 STATED = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MOST_TOKENS = 0.005, 0.6, 1.2, 2
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 0.6, 1.2
 BAD, GOOD = "@bad", "@good"
 
 
@@ -76,18 +76,20 @@ def document_of(url: Column) -> Column:
     return F.regexp_extract(path_of(url), r"/(\d{1,18})(?:\.[A-Za-z]+)?/?\z", 1).try_cast("bigint")
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, most_tokens: int = MOST_TOKENS) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """verdict, tokens (sorted), confidence, lift and support of each kept rule."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.coalesce((F.col("quality") == 0), F.lit(False)) | F.coalesce(F.col("toxic") > 0, F.lit(False))).alias("bad"))
     seen = pages.select("url").withColumn("doc_id", document_of(F.col("url"))).join(known, "doc_id")
     sets = seen.select(F.concat(tokens(F.col("url")), F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"))
     rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sets).associationRules
-    about = rules.where(F.col("consequent")[0].isin(BAD, GOOD) & (F.size("antecedent") <= most_tokens) & (F.col("lift") >= min_lift) & ~F.array_contains("antecedent", BAD) & ~F.array_contains("antecedent", GOOD))
+    about = rules.where(F.col("consequent")[0].isin(BAD, GOOD) & (F.col("lift") >= min_lift) & ~F.array_contains("antecedent", BAD) & ~F.array_contains("antecedent", GOOD))
     kept = about.select(F.when(F.col("consequent")[0] == BAD, "block").otherwise("allow").alias("verdict"), F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support")
-    # a longer rule is dropped when a part of it is as sure
-    short = kept.select(F.col("verdict").alias("v"), F.col("tokens")[0].alias("t"), F.col("confidence").alias("c")).where(F.size("tokens") == 1)
-    covered = (F.size("tokens") > 1) & (F.col("verdict") == F.col("v")) & F.array_contains("tokens", F.col("t")) & (F.col("c") >= F.col("confidence"))
-    return kept.join(short, covered, "left_anti")
+    # a longer rule is dropped when a part of it, of any size, is as sure; a part's first token is one of the longer rule's
+    part = kept.select(F.col("verdict").alias("v"), F.col("tokens").alias("ts"), F.col("confidence").alias("c"), F.col("tokens")[0].alias("t"))
+    longer = kept.select("verdict", "tokens", "confidence", F.explode("tokens").alias("at"))
+    inside = (F.col("at") == F.col("t")) & (F.col("verdict") == F.col("v")) & (F.size("ts") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("ts", "tokens")) == 0)
+    covered = longer.join(part, inside, "left_semi").select("verdict", "tokens").distinct()
+    return kept.join(covered, ["verdict", "tokens"], "left_anti")
 
 
 def matched(found: Column, rules: list) -> Column:
