@@ -29,6 +29,7 @@ _LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The generator polynomial of the Golay code.
 _GOLAY = 0b101011100011
 _BITS = 23
+ROW = "_simhash_row"
 _RADIUS = 3
 
 
@@ -131,12 +132,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, words: int = 3, key: st
 
 
 def one_of_each(docs: DataFrame, threshold: int = 2, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that have the smallest key of their component; one of rows of equal key.
-
-    A null key counts as the smallest one where its component has no other."""
-    found = stored(near_duplicates(docs, threshold, words, key, text), "simhash-found")
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
-    kept = kept.select(F.col(key).alias("_kept"), "_copies")
-    rows = docs.join(kept, docs[key].eqNullSafe(kept["_kept"]))
-    several = rows.where("_copies > 1").select(*docs.columns).dropDuplicates([key])
-    return rows.where("_copies = 1").select(*docs.columns).unionByName(several)
+    """One row of docs, with all its columns, of each component: that of the smallest key, null keys last.
+
+    Rows are told apart by a number that is written with them, as keys may be null or repeat."""
+    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "simhash-rows")
+    fps = stored(fingerprints(rows, words, ROW, text), "simhash")
+    order = F.struct(F.col("k").isNull().alias("absent"), F.col("k").alias("k"), F.col(ROW).alias("row"))
+    own = stored(fps.join(rows.select(ROW, F.col(key).alias("k")), ROW).groupBy("fp").agg(F.min(order).alias("first")), "simhash-distinct")
+    roots = components(links(own, threshold)).withColumnRenamed("node", "fp")
+    least = own.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    gone = stored(fps.select(ROW).join(least.select(F.col("first.row").alias(ROW)), ROW, "left_anti"), "simhash-gone")
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
