@@ -1,11 +1,14 @@
 """Detectors, overlap resolution, topics and options on written cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from veilspark.functions.dialect import spans
 from veilspark.operators.ner import align, chunk, widen
-from veilspark.operators.resolve import detect, exploded
-from veilspark.schema import Options, UserTerms
+from veilspark.operators.resolve import detect, exploded, resolve, settler, with_keys
+from veilspark.schema import FINDING, PRIORITIES, SEVERITY, WEIGHTS, Options, UserTerms
 
 CASES = {
     "write to foo.bar@example.com": [("EMAIL", "foo.bar@example.com")],
@@ -39,10 +42,14 @@ CASES = {
 }
 
 
+#: Words that are no names are an input of Options.
+STOP = frozenset({"and"})
+
+
 @pytest.fixture(scope="module")
 def found(spark):
     df = spark.createDataFrame(list(enumerate([*CASES, None])), "seq long, text string").repartition(3)
-    return {r["text"]: r for r in detect(df).collect()}
+    return {r["text"]: r for r in detect(df, options=Options(stopwords=STOP)).collect()}
 
 
 @pytest.mark.parametrize("text", CASES)
@@ -93,3 +100,45 @@ def test_chunks_and_tokens():
     found = align("Dear Ravi Iyer's left", tokens)
     assert [(e["start"], e["end"], round(e["score"], 3)) for e in found] == [(5, 14, 0.8)]
     assert [(e["start"], e["end"]) for e in widen("Dear Ravi Iyer's left", found)] == [(5, 14)]
+
+
+def random_candidates(seed: int, n: int, width: int) -> list[tuple]:
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        start = rng.randrange(width)
+        type_ = rng.choice(("EMAIL", "SSN", "PERSON", "IP_ADDRESS"))
+        out.append((type_, start, start + rng.randrange(1, 9), SEVERITY[type_], rng.choice(tuple(PRIORITIES)[:2]), 0.9))
+    return out
+
+
+def test_both_resolutions_agree_with_brute_force(spark):
+    """Overlaps resolved in the plan, in the Arrow pass, and by comparing each candidate with all kept before it."""
+    text = "x" * 30_000
+    cases = [random_candidates(i, n, width) for i, (n, width) in enumerate([(0, 1), (1, 9), (8, 30), (16, 40), (17, 20), (60, 90), (600, 3000), (3000, 29_000)])]
+    settle = settler(Options())
+    rows = [(i, [(t, a, b, text[a:b], s, src, c) for t, a, b, s, src, c in case]) for i, case in enumerate(cases)]
+    df = spark.createDataFrame(rows, f"seq int, found array<{FINDING}>").repartition(2)
+    got = {r["seq"]: [f["id"] for f in r["fs"]] for r in df.select("seq", with_keys(F.col("found")).alias("k")).select("seq", resolve(F.col("k")).alias("fs")).collect()}
+    for i, case in enumerate(cases):
+        kept = []
+        for f in sorted(case, key=lambda f: (-PRIORITIES[f[4]], -WEIGHTS[f[3]], f[1] - f[2], f[1], f[0])):
+            if all(f[2] <= k[1] or k[2] <= f[1] for k in kept):
+                kept.append(f)
+        want = [f"{t}:{a}:{b}" for t, a, b, *_ in sorted(kept, key=lambda f: f[1])]
+        assert got[i] == want == [f[0] for f in settle(case, text)]
+
+
+def test_text_of_20000_matches(spark):
+    text = " ".join(f"u{i}@mail.example.com" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "seq long, text string")
+    r = detect(df).select(F.size("findings").alias("n"), F.element_at("findings", -1)["value"].alias("last")).first()
+    assert (r["n"], r["last"]) == (20_000, "u19999@mail.example.com")
+    s = df.select(F.size(spans(F.col("text"), "[0-9]+")).alias("n"), F.element_at(spans(F.col("text"), "[0-9]+"), -1).alias("s")).first()
+    assert s["n"] == 20_000 and text[s["s"]["start"] : s["s"]["end"]] == "19999"
+
+
+def test_keyword_listed_first_wins_at_one_place(spark):
+    df = spark.createDataFrame([(1, "My medical records. Health insurance and xmedical, MEDICAL")], "seq long, text string")
+    t = detect(df).select(F.explode("topics").alias("t")).select("t.*").collect()
+    assert [(x["topic"], x["start"], x["keywords"]) for x in t] == [("HEALTH", 0, ["medical"]), ("HEALTH", 19, ["health insurance", "medical"])]

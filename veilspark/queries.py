@@ -47,7 +47,7 @@ def detector(name: str, text: str, value: str, where: str = "true", rule: Callab
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = made(spark, sf_dir, text)
-        found = rule(F.col("text")) if rule else rules.person(F.col("text"), options or Options())
+        found = rules.found(F.col("text"), rule or (lambda t: rules.person(t, options or Options())))
         return df.select("seq", F.explode(found).alias("f")).select("seq", F.col("f.type").alias("type"), F.col("f.value").alias("value"), F.col("f.start").alias("start"), F.col("f.confidence").alias("confidence"))
 
     QUERIES[name] = run
@@ -83,7 +83,7 @@ _NAME = "case k % 3 when 0 then 'Anna Kim' when 1 then 'Jörg O''Neil' else 'Mar
 detector("d13_name_phrase", f"concat('Hello, my name is ', {_NAME}, '. Number ', {K})", _NAME)
 detector("d14_sign_off", f"concat('Number ', {K}, '\n', 'Regards,', '\n', {_NAME})", _NAME)
 _TERMS = UserTerms(custom=("Project Ünder-Score",))
-detector("d16_user_terms", f"concat('re: project ünder-score', case when k % 2 = 0 then '' else 's' end, ' ', {K})", "'project ünder-score'", "k % 2 = 0", lambda t: rules.user_terms(t, _TERMS))
+detector("d16_user_terms", f"concat('re: project ünder-score', case when k % 2 = 0 then '' else 's' end, ' ', {K})", "'project ünder-score'", "k % 2 = 0", rules.user_terms(_TERMS))
 
 
 @query(r"""
@@ -93,8 +93,8 @@ detector("d16_user_terms", f"concat('re: project ünder-score', case when k % 2
     from m where v <> '' and not regexp_matches(substr(run, length(v) + 1), '^[A-Za-z0-9_@-]') group by all""")
 def d01_email(spark, sf_dir):
     """Email addresses of documents."""
-    docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", F.explode(rules.email(F.col("text"))).alias("f"))
+    docs = files.spread(table(spark, sf_dir, "documents"))
+    found = docs.select("doc_id", F.explode(rules.found(F.col("text"), rules.email)).alias("f"))
     return found.select("doc_id", S.normalize_key(F.col("f.type"), F.col("f.value")).alias("key"), S.mask_value(F.col("f.type"), F.col("f.value")).alias("masked")).groupBy("doc_id", "key", "masked").count().withColumnRenamed("count", "n")
 
 
@@ -106,7 +106,7 @@ def d01_email(spark, sf_dir):
     select doc_id, key, count(*) as n from s where total % 10 = 0 and length(replace(key, substr(key, 1, 1), '')) > 0 group by all""")
 def d04_credit_card(spark, sf_dir):
     """Card numbers of documents."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(rules.credit_card(F.col("text"))).alias("f"))
+    found = files.spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(rules.found(F.col("text"), rules.credit_card)).alias("f"))
     return found.select("doc_id", S.digits(F.col("f.value")).alias("key")).groupBy("doc_id", "key").count().withColumnRenamed("count", "n")
 
 
@@ -117,7 +117,7 @@ def d04_credit_card(spark, sf_dir):
     where v <> '' and v <> '1.2.3.4' and list_max([cast(x as integer) for x in string_split(v, '.')]) <= 255 group by all""")
 def d09_ip_address(spark, sf_dir):
     """IP addresses of documents."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(rules.ip_address(F.col("text"))).alias("f"))
+    found = files.spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(rules.found(F.col("text"), rules.ip_address)).alias("f"))
     return found.select("doc_id", F.col("f.value").alias("key")).groupBy("doc_id", "key").count().withColumnRenamed("count", "n")
 
 
@@ -136,7 +136,7 @@ def d15_dictionary_names(spark, sf_dir):
     """First names of a list, inside sentences."""
     df = made(spark, sf_dir, "concat('Yesterday we met ', case k % 3 when 0 then 'Priya Nair' when 1 then 'Tomas' else 'Happy' end, ' there, number ', cast(k as string))")
     names = rules.dictionary_names(Options(first_names=frozenset({"priya", "tomas", "happy"})))
-    return df.select("seq", F.explode(names(F.col("text"))).alias("f")).select("seq", "f.value", "f.start")
+    return df.select("seq", F.explode(rules.found(F.col("text"), names)).alias("f")).select("seq", "f.value", "f.start")
 
 
 @query()

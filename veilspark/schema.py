@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values: (entity type, severity, disclosure cost, placeholder prefix, compared by digits, label).
 ENTITIES = (
@@ -56,14 +58,30 @@ class UserTerms:
 
 @dataclass(frozen=True)
 class Options:
-    """What detection looks for. The word lists are inputs: first names, common words and words that are no names."""
+    """What detection looks for. The word lists, in lower case, are inputs that the caller gives, for instance by
+    `word_list`: first names, common words, and stop words (words that are no names). None is built in."""
 
     terms: UserTerms = field(default_factory=UserTerms)
     allowlist: tuple[str, ...] = ()
     types: tuple[str, ...] = DEFAULT_TYPES
     first_names: frozenset[str] = frozenset()
     common_words: frozenset[str] = frozenset()
-    stopwords: frozenset[str] | None = None
+    stopwords: frozenset[str] = frozenset()
+
+    @cached_property
+    def known_names(self) -> frozenset[str]:
+        """First names that are no common words."""
+        return frozenset(n for n in self.first_names if len(n) >= 3) - self.common_words - self.stopwords
+
+
+def word_list(spark: SparkSession, path: str, most: int = 1_000_000) -> frozenset[str]:
+    """The distinct words of a text file of one or more words a line. A list of over `most` words is an error, as lists go
+    to every task."""
+    words = spark.read.text(path).select(F.explode(F.split(F.lower("value"), r"\s+")).alias("w")).where("w <> ''").distinct()
+    found = frozenset(r["w"] for r in words.limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} words")
+    return found
 
 
 def entity_table(spark: SparkSession) -> DataFrame:

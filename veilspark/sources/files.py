@@ -63,6 +63,16 @@ def extract(files: DataFrame, pdf_pages: Callable[[bytes], list[str]] | None = N
     return files.select("path", "length", "content").mapInPandas(run, "path string, status string, text string, reason string")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is read from few files.
+
+    A file of one row group is one task whatever its size, so work that costs much more than reading is shared out by a
+    round-robin exchange first. Tables of as many files as there are cores, as every large one is, are left as they are;
+    so is what has no files of its own."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def sample_events(spark: SparkSession, end: str = "2024-01-31 00:00:00", n: int = 60) -> DataFrame:
     """n disclosure events, eight hours apart, cycling through types, sites, sources and actions."""
     cycle = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("id") % len(values) + 1).cast("int"))
