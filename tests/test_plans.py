@@ -178,13 +178,44 @@ def test_ledger(spark):
     assert (s["messages"], s["shared"], s["cost"], s["score"], s["counts"]) == (4, 1, 3, 97, {"EMAIL": 1})
     bad = records.withColumn("counts", F.expr("map('EMAIL', -1)"))
     assert ledger.validated(bad, strict=False).count() == 0
+    for counts in ("map('EMAIL', -1)", "map('EMAIL', 10001)", "map('NO_TYPE', 1)"):
+        wrong = records.withColumn("counts", F.expr(counts))
+        assert ledger.validated(wrong, strict=False).count() == 0
+        with pytest.raises(Exception, match="invalid activity record"):
+            ledger.validated(wrong).collect()
+    kept = ledger.validated(records.withColumn("counts", F.expr("map('EMAIL', 0, 'SSN', 10000)"))).collect()
+    assert len(kept) == 4 and all(r["counts"] == {"SSN": 10000} for r in kept)
+    assert ledger.merged(records, records, "e", most=4).count() == 4
+    with pytest.raises(Exception, match="more than 3 records"):
+        ledger.merged(records, records, "e", most=3).collect()
+
+
+def test_pieces_by_brute_force(spark):
+    def literal(text, size, overlap):
+        """Every end is looked for from the right."""
+        text, start, out = text.strip(), 0, []
+        while text[start:]:
+            end = next((e for e in range(start + size - 2, start + size // 2 - 1, -1) if text[e : e + 2] == "\n\n" and e > start), start + size) if start + size < len(text) else len(text)
+            out.append(text[start:end].strip())
+            start = len(text) if end >= len(text) else max(start + 1, end - overlap)
+        return [p for p in out if p]
+
+    rng = random.Random(11)
+    texts = ["", None, " \n\n ", "\x85a\ufeff", *("".join(rng.choice(("\n\n", "\n", " ", "ä", "x" * 5)) for _ in range(n)) for n in (5, 40, 200, 900))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for size, overlap in ((50, 10), (30, 29), (7, 0)):
+        got: dict = {}
+        for r in policy.chunks(df, size, overlap).orderBy("i", "chunk").collect():
+            got.setdefault(r["i"], []).append(r["chunk_text"])
+        assert got == {i: want for i, t in enumerate(texts) if (want := literal(t or "", size, overlap))}
 
 
 def test_policy(spark):
     text = "\n\n".join("abcdefghi " * 30 for _ in range(12))
-    parts = policy.cut(text)
+    cut = lambda t: spark.createDataFrame([(t,)], "text string").select(policy.windows(F.col("text")).alias("p")).first()["p"]
+    parts = cut(text)
     assert all(len(p) <= 1200 for p in parts) and parts[0] == text[: len(parts[0])]
-    assert policy.cut("x" * 3500)[1][:200] == policy.cut("x" * 3500)[0][-200:] and [len(p) for p in policy.cut("x" * 3500)] == [1200, 1200, 1200, 500]
+    assert cut("x" * 3500)[1][:200] == cut("x" * 3500)[0][-200:] and [len(p) for p in cut("x" * 3500)] == [1200, 1200, 1200, 500]
     body = "<p>We keep chats for 30 days</p>, <a>really</a>" + "<p>More words here.</p>" * 30
     html = f"<html><head><title>T</title><script>var a='<p>no</p>'</script></head><nav>menu</nav><article>{body}</article></html>"
     title, clean = policy.readable(html)

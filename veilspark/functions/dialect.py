@@ -34,6 +34,15 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
 
 
+#: Python's white space, as the inside of a class.
+PYTHON_WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column) -> Column:
+    """Without Python's white space at both ends."""
+    return F.regexp_replace(c, rf"\A[{PYTHON_WS}]+|[{PYTHON_WS}]+\z", "")
+
+
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), with value evaluated once however often f names it: expressions in lambdas are not shared otherwise."""
     return F.element_at(F.transform(F.array(value), f), 1)

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..functions.scalars import conversation_hash, cost_of, message_hash, normalize_prompt
 from ..schema import ACTIONS, ENTITY_TYPES, SITES, SOURCES
 
 # Fixed values.
 MOST_COUNT, KEPT_EVENTS, MOST_RECORDS, SCORE_DAYS, DAILY_GAIN, FULL = 10_000, 5_000, 20_000, 30, 2, 100
+# End of fixed values.
+#: How many lengths of a window are one stretch of a key's times.
+RANGE = 1024
 
 
 def valid_event() -> Column:
@@ -23,15 +30,21 @@ def valid_events(events: DataFrame, now: str | None = None, since: str | None =
     return rows if since is None else rows.where(F.col("ts") > F.lit(since).cast("timestamp"))
 
 
-def validated(records: DataFrame, strict: bool = True) -> DataFrame:
-    """Records with right ids, sites, times and counts, without counts of 0. strict: a wrong one is an error."""
+def validated(records: DataFrame, strict: bool = True, most: int | None = None) -> DataFrame:
+    """Records with right ids, sites, times and counts (whole, 0 to MOST_COUNT), then without counts of 0.
+
+    strict: a wrong one is an error, else it is left out. most: more records than that are an error."""
     hash_like = lambda c: F.col(c).rlike(r"\A[a-f0-9]{64}\z")
     right = F.forall(F.map_entries("counts"), lambda e: e["key"].isin(*ENTITY_TYPES) & e["value"].between(0, MOST_COUNT))
     good = F.coalesce(hash_like("id") & hash_like("conversation") & F.col("site").isin(*SITES) & (F.col("ts") >= F.timestamp_millis(F.lit(0))) & right, F.lit(False))
-    rows = records.withColumn("counts", F.map_filter("counts", lambda k, v: v > 0))
+    # the counts are looked at as they came: the test stands on the input, below the map without zeros
+    rows = records.withColumn("_good", good).withColumn("counts", F.map_filter("counts", lambda k, v: v > 0))
+    if most is not None:
+        total = records.agg((F.count(F.lit(1)) > most).alias("_over"))
+        rows = rows.crossJoin(F.broadcast(total)).withColumn("_good", F.when(F.col("_over"), F.raise_error(f"more than {most} records").cast("boolean")).otherwise(F.col("_good"))).drop("_over")  # one row
     if not strict:
-        return rows.where(good)
-    return rows.withColumn("id", F.when(good, F.col("id")).otherwise(F.raise_error("invalid activity record").cast("string")))
+        return rows.where("_good").drop("_good")
+    return rows.withColumn("id", F.when(F.col("_good"), F.col("id")).otherwise(F.raise_error("invalid activity record").cast("string"))).drop("_good")
 
 
 def identified(messages: DataFrame) -> DataFrame:
@@ -58,9 +71,14 @@ def added(ledger: DataFrame, incoming: DataFrame, epoch: str) -> DataFrame:
     return new.join(ledger.select("id"), "id", "left_anti")
 
 
-def merged(ledger: DataFrame, incoming: DataFrame, epoch: str) -> DataFrame:
-    """The ledger with what is new; what is there already stays."""
-    return ledger.unionByName(added(ledger, incoming, epoch).select(ledger.columns))
+def merged(ledger: DataFrame, incoming: DataFrame, epoch: str, most: int | None = None) -> DataFrame:
+    """The ledger with what is new; what is there already stays. most: a ledger of more records (for one person's, MOST_RECORDS) is an error."""
+    whole = ledger.unionByName(added(ledger, incoming, epoch).select(ledger.columns))
+    if most is None:
+        return whole
+    total = whole.agg((F.count(F.lit(1)) > most).alias("_over"))
+    full = F.when(F.col("_over"), F.raise_error(f"the ledger would hold more than {most} records").cast("string")).otherwise(F.col("id"))
+    return whole.crossJoin(F.broadcast(total)).withColumn("id", full).drop("_over")  # one row
 
 
 def activity_stats(records: DataFrame) -> DataFrame:
@@ -121,20 +139,48 @@ def score_replay(events: DataFrame, now: str, by: str = "user_id", order: str =
     return folded.select(by, F.explode("daily").alias("d")).select(by, F.date_add(F.lit("1970-01-01").cast("date"), F.col("d.day")).cast("string").alias("date"), F.col("d.score").alias("score"))
 
 
-def rate_limited(requests: DataFrame, limit: int, seconds: int = 60, key: str = "key") -> DataFrame:
+def rate_limited(requests: DataFrame, limit: int, seconds: int = 60, key: str = "key", order: str = "event_id") -> DataFrame:
     """requests with window_start and denied. A window opens at a key's first request after the last one closed; refused
-    requests count too. Windows follow from each other, so a key's times are folded in order, as array of its distinct
-    seconds; the count inside a window is a running number."""
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    times = requests.groupBy(key).agg(F.sort_array(F.collect_set(ms)).alias("ts"))
-
-    def step(acc: Column, t: Column) -> Column:
-        opens = F.size(acc) == 0
-        return F.when(opens | (t >= F.element_at(acc, -1) + seconds * 1000), F.concat(acc, F.array(t))).otherwise(acc)
-
-    starts = times.select(key, F.explode(F.aggregate("ts", F.array().cast("array<bigint>"), step)).alias("_w"))
-    both = requests.select("*", ms.alias("_t"), F.lit(1).alias("_is")).unionByName(starts.select(key, F.col("_w").alias("_t"), F.lit(0).alias("_is")), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_t", "_is")
-    rows = both.withColumn("window_start", F.last(F.when(F.col("_is") == 0, F.col("_t")), ignorenulls=True).over(w)).where("_is = 1")
-    n = F.row_number().over(Window.partitionBy(key, "window_start").orderBy("_t", *[c for c in ("event_id",) if c in requests.columns]))
-    return rows.withColumn("denied", n > limit).withColumn("window_start", F.timestamp_millis("window_start")).drop("_t", "_is")
+    requests count too.
+
+    Windows of a key follow from each other, so its times are cut first where one opens for certain: after a gap of a
+    window's length. Gaps are found inside stretches of RANGE windows, and stretches joined by what their ends say, so
+    no task sorts all times of a hot key. What lies between two gaps is gone through in order, as a stream of Arrow
+    batches that remembers one window: nothing is held whole."""
+    length = seconds * 1000
+    t = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = requests.withColumn("_t", t).withColumn("_b", F.floor(F.col("_t") / (length * RANGE)))
+    inside, across = Window.partitionBy(key, "_b").orderBy("_t", order), Window.partitionBy(key).orderBy("_b")
+    ends = rows.groupBy(key, "_b").agg(F.max("_t").alias("_last")).withColumn("_before", F.lag("_last").over(across)).drop("_last")
+    rows = same_key_join(rows, ends, [key, "_b"])
+    gap = F.col("_t") - F.coalesce(F.lag("_t").over(inside), F.col("_before")) >= length
+    rows = rows.withColumn("_open", F.when(F.coalesce(gap, F.lit(True)), F.col("_t")))
+    opened = rows.groupBy(key, "_b").agg(F.max("_open").alias("_last")).withColumn("_carried", F.max("_last").over(across.rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    rows = same_key_join(rows, opened, [key, "_b"])
+    rows = rows.withColumn("_segment", F.coalesce(F.max("_open").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carried")))
+    columns = requests.columns
+    names = [*columns, "_segment", "_t"]
+    at_key = names.index(key)
+    schema = StructType([*requests.schema.fields, StructField("_start", LongType()), StructField("denied", BooleanType())])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, start, n = None, 0, 0
+        for b in batches:
+            starts, denied = [], []
+            for k, segment, t in zip(*(b.column(i).to_pylist() for i in (at_key, len(names) - 2, len(names) - 1)), strict=True):
+                if now != (k, segment) or t >= start + length:
+                    now, start, n = (k, segment), t, 0
+                n += 1
+                starts.append(start)
+                denied.append(n > limit)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(starts, pa.int64()), pa.array(denied, pa.bool_())], names=[*columns, "_start", "denied"])
+
+    # segments are whole in a partition and in order there, so a hot key's segments spread over all tasks
+    placed = rows.select(*names).repartition(key, "_segment").sortWithinPartitions(key, "_segment", "_t", order)
+    return placed.mapInArrow(windows, schema).withColumn("window_start", F.timestamp_millis("_start")).drop("_start")
+
+
+def same_key_join(rows: DataFrame, each: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of each, which has one row for each of the keys' values; null keys meet null ones."""
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    return rows.alias("l").join(each.alias("r"), on, "left").select("l.*", *[f"r.{c}" for c in each.columns if c not in keys])

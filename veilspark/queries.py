@@ -34,7 +34,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of few files is shared out over all cores first, as the work on its rows costs far more than reading."""
+    return files.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def made(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -93,7 +94,7 @@ detector("d16_user_terms", f"concat('re: project ünder-score', case when k % 2
     from m where v <> '' and not regexp_matches(substr(run, length(v) + 1), '^[A-Za-z0-9_@-]') group by all""")
 def d01_email(spark, sf_dir):
     """Email addresses of documents."""
-    docs = files.spread(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", F.explode(rules.found(F.col("text"), rules.email)).alias("f"))
     return found.select("doc_id", S.normalize_key(F.col("f.type"), F.col("f.value")).alias("key"), S.mask_value(F.col("f.type"), F.col("f.value")).alias("masked")).groupBy("doc_id", "key", "masked").count().withColumnRenamed("count", "n")
 
@@ -106,7 +107,7 @@ def d01_email(spark, sf_dir):
     select doc_id, key, count(*) as n from s where total % 10 = 0 and length(replace(key, substr(key, 1, 1), '')) > 0 group by all""")
 def d04_credit_card(spark, sf_dir):
     """Card numbers of documents."""
-    found = files.spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(rules.found(F.col("text"), rules.credit_card)).alias("f"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(rules.found(F.col("text"), rules.credit_card)).alias("f"))
     return found.select("doc_id", S.digits(F.col("f.value")).alias("key")).groupBy("doc_id", "key").count().withColumnRenamed("count", "n")
 
 
@@ -117,7 +118,7 @@ def d04_credit_card(spark, sf_dir):
     where v <> '' and v <> '1.2.3.4' and list_max([cast(x as integer) for x in string_split(v, '.')]) <= 255 group by all""")
 def d09_ip_address(spark, sf_dir):
     """IP addresses of documents."""
-    found = files.spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(rules.found(F.col("text"), rules.ip_address)).alias("f"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(rules.found(F.col("text"), rules.ip_address)).alias("f"))
     return found.select("doc_id", F.col("f.value").alias("key")).groupBy("doc_id", "key").count().withColumnRenamed("count", "n")
 
 
