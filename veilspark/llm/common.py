@@ -8,19 +8,26 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
+
+#: A key is hot that has one of so many parts of all rows.
+HOT = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer files than cores is shared out over all cores first."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: `spark.checkpoint.dir` of the session.
 
-    Only where that is unset (a local test session) a temporary folder is made and set."""
+    Only in a local session without that setting, as in tests, a temporary folder is made and set; on a cluster it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -39,6 +46,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined_once(rows: DataFrame, each: DataFrame, key: str, n: str) -> DataFrame:
+    """rows with the columns of each but n, which has one row for each key and n, how many of rows have it.
+
+    Keys of a thousandth of all rows or more, of which there are a thousand at most, are broadcast, so that no task gets
+    all rows of a hot key; the rest is shuffled."""
+    total = each.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT >= total
+    few, many = each.where(hot).drop(n), each.where(~hot).drop(n)
+    keys = few.select(key)
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(keys), key, "left_anti").join(many, key))
+
+
+def numbered(docs: DataFrame, row: str, name: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs written with a number of each row, and what its columns are called there: names that clash with no other."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return stored(docs.toDF(*names.values()).withColumn(row, F.monotonically_increasing_id()), name), names
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of numbered under the names of docs."""
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lowered, every other character kept."""
     return F.translate(c, UPPER, LOWER)

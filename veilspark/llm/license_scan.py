@@ -9,6 +9,7 @@ Null text: no words, no places. Whole texts are searched, of any length; equal r
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 
 import ahocorasick
@@ -68,9 +69,11 @@ class Scanner:
         """(label, number of its first word) of each place of each phrase."""
         padded, found = b" " + joined + b" ", []
         for phrase, label in self.phrases:
-            at = padded.find(phrase)
+            at, seen, words = padded.find(phrase), 0, -1
             while at >= 0:
-                found.append((label, padded.count(b" ", 0, at + 1) - 1))
+                words += padded.count(b" ", seen, at + 1)  # of the part since the last place only
+                seen = at + 1
+                found.append((label, words))
                 at = padded.find(phrase, at + 1)
         return found
 
@@ -87,13 +90,18 @@ class Scanner:
                 low = max(0, start - k)
                 if m := pattern.search(joined, low, min(len(joined), start + size + k)):
                     found.append((sum(m.fuzzy_counts), -size, m.start(), m.end(), i))
-        kept: list[tuple[int, int, int, int, int]] = []
+        starts: list[int] = []
+        kept: list[tuple[int, int, int, int, int]] = []  # by start, without overlaps
         for x in sorted(set(found)):
-            if all(x[3] <= y[2] or y[3] <= x[2] for y in kept):
-                kept.append(x)
-        out = []
-        for errors, size, start, end, i in sorted(kept, key=lambda x: x[2]):
-            first = joined.count(" ", 0, start + (joined[start] == " "))
+            at = bisect_left(starts, x[2])
+            if (at == 0 or kept[at - 1][3] <= x[2]) and (at == len(starts) or x[3] <= starts[at]):
+                starts.insert(at, x[2])
+                kept.insert(at, x)
+        out, seen, first = [], 0, 0
+        for errors, size, start, end, i in kept:
+            to = start + (joined[start] == " ")
+            first += joined.count(" ", seen, to)
+            seen = to
             out.append((self.notices[i][2], first, first + joined[start:end].strip().count(" "), errors, -size))
         return out
 

@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,6 @@ from .batches import SLICE
 from .common import stored
 from .pretokens import WordMemory
 
-#: A broadcast of partition starts is made up to so many rows; beyond, they are joined by a shuffle.
-MOST_STARTS = 200_000
-
 
 class WordIds:
     """Ids of whole texts by the library; met words are kept, new ones are encoded many at a time, a space between them."""
@@ -50,21 +48,25 @@ class WordIds:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.special = re.compile("(" + "|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) + ")")
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.mark = commonprefix(special)  # asked for first, as it is cheap
+        #: Ids are kept in 16 bits where the vocabulary allows.
+        self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
         self.known = WordMemory(self._find, b"".join)
 
     def _find(self, words: list[str]) -> list[bytes]:
         found = []
         for at in range(0, len(words), 500):
-            ids = np.array(self.library.encode(" ".join(words[at : at + 500]), add_special_tokens=False).ids, np.uint16)
+            ids = np.array(self.library.encode(" ".join(words[at : at + 500]), add_special_tokens=False).ids, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             found += [p.tobytes() for p in np.split(ids, cuts[:-1])]
         return found
 
     def packed(self, text: str) -> bytes:
-        """The ids as unsigned 16-bit numbers."""
-        if "<|" in text:
-            return b"".join(np.array([self.library.token_to_id(p)], np.uint16).tobytes() if n % 2 else b"".join(self.known.of(p)) for n, p in enumerate(self.special.split(text)))
+        """The ids as unsigned numbers of self.kind."""
+        if self.special and self.mark in text:
+            return b"".join(np.array([self.library.token_to_id(p)], self.kind).tobytes() if n % 2 else b"".join(self.known.of(p)) for n, p in enumerate(self.special.split(text)))
         return b"".join(self.known.of(text))
 
 
@@ -75,14 +77,14 @@ def word_ids(path: str) -> WordIds:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, ids (binary, 16 bits each, the end id last), n tokens, part (its partition) and at (tokens of
+    """doc_id, source, ids (binary, 16 or 32 bits each, the end id last), n tokens, part (its partition) and at (tokens of
     its source before it in the partition)."""
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
-    end = np.array([end_id], np.uint16).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, part, so_far = word_ids(path), TaskContext.get().partitionId(), {}
+        end, each = np.array([end_id], w.kind).tobytes(), w.kind.itemsize
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 b = whole.slice(start, SLICE)
@@ -90,8 +92,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id",
                 at = []
                 for s, i in zip(b.column(1).to_pylist(), ids, strict=True):
                     at.append(so_far.get(s, 0))
-                    so_far[s] = at[-1] + len(i) // 2
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array([len(i) // 2 for i in ids], pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array(at, pa.int64())], names=["doc_id", "source", "ids", "n", "part", "at"])
+                    so_far[s] = at[-1] + len(i) // each
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array([len(i) // each for i in ids], pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array(at, pa.int64())], names=["doc_id", "source", "ids", "n", "part", "at"])
 
     return src.mapInArrow(run, f"doc_id {kind}, source string, ids binary, n bigint, part int, at bigint")
 
@@ -261,9 +263,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, tar
     else:
         starts = starts.withColumn("queue_base", F.lit(0).cast("bigint"))
     starts = starts.select("source", "part", (F.col("base") + F.when(F.col("big"), F.lit(0)).otherwise(F.coalesce(F.col("queue_base"), F.lit(0)) + before_rest)).alias("base"), "big")
-    starts = stored(starts, "packing-starts")
-    if starts.count() <= MOST_STARTS:
-        starts = F.broadcast(starts)
+    starts = stored(starts, "packing-starts")  # of a known size, so Spark broadcasts it only where it is small
     placed = ids.join(starts, ["source", "part"]).select("doc_id", "source", "ids", "n", (F.col("base") + F.col("at")).alias("first"), "big")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, tar
                 d = whole.slice(cut, SLICE).to_pydict()
                 rows: list[list] = [[] for _ in range(9)]
                 for doc, src, packed, n, first, is_big in zip(*(d[c] for c in ("doc_id", "source", "ids", "n", "first", "big")), strict=True):
-                    wide = np.frombuffer(packed, "<u2").astype("<u4")
+                    wide = np.frombuffer(packed, f"<u{len(packed) // n}").astype("<u4")
                     for start, length, window, offset in schedule.pieces(queue_of[src] if is_big else shared, first, n):
                         piece = wide[start : start + length]
                         for column, value in zip(rows, (doc, start, length, piece.astype(np.int32) if with_ids else None, zlib.crc32(piece), n, window, offset, src), strict=True):
@@ -288,12 +288,12 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, tar
 
 
 def ranged_sums(df: DataFrame, name: str, n: str) -> DataFrame:
-    """df with `before`: the sum of n over all smaller names. Sums of hashed name prefixes first, then within each."""
-    bucket = F.substring(F.coalesce(F.col(name), F.lit("")), 1, 3)
-    df = df.withColumn("bucket", bucket)
-    heads = df.groupBy("bucket").agg(F.sum(n).alias("of"))
-    heads = heads.withColumn("base", F.coalesce(F.sum("of").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.coalesce(F.sum(n).over(Window.partitionBy("bucket").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("inside", inside).join(heads.select("bucket", "base"), "bucket").select(name, n, (F.col("base") + F.col("inside")).alias("before"))
-
-
+    """name, n and `before`: the sum of n over all smaller names. df has one row for each name.
+
+    Ranges of about equal numbers of names are written first; a range's rows are summed in it, and the sums of ranges,
+    of which there are as many as shuffle partitions, among each other."""
+    ranged = stored(df.select(name, n).repartitionByRange(name).withColumn("range", F.spark_partition_id()), "packing-ranges")
+    heads = ranged.groupBy("range").agg(F.sum(n).alias("of"))
+    heads = heads.withColumn("base", F.coalesce(F.sum("of").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy("range").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("inside", inside).join(heads.select("range", "base"), "range").select(name, n, (F.col("base") + F.col("inside")).alias("before"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import SLICE, per_text
-from .common import stored
+from .common import joined_once, numbered, restored, stored
 from .components import components
 
 _LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -123,23 +123,23 @@ def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: int = 2, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fingerprint (16 hex digits) and component_id (the smallest key that links reach) of each row."""
     fps = stored(fingerprints(docs, words, key, text), "simhash")
-    distinct = stored(fps.groupBy("fp").agg(F.min(key).alias("first")), "simhash-distinct")
+    distinct = stored(fps.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     roots = components(links(distinct, threshold)).withColumnRenamed("node", "fp")
-    own = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = own.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = own.join(least, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    own = stored(distinct.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    least = own.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    of = stored(joined_once(own, least, "root", "m").select("fp", "component_id", "n"), "simhash-components")
+    return joined_once(fps, of, "fp", "n").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, threshold: int = 2, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs, with all its columns, of each component: that of the smallest key, null keys last.
 
     Rows are told apart by a number that is written with them, as keys may be null or repeat."""
-    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "simhash-rows")
-    fps = stored(fingerprints(rows, words, ROW, text), "simhash")
+    rows, names = numbered(docs, ROW, "simhash-rows")
+    fps = stored(fingerprints(rows, words, ROW, names[text]), "simhash")
     order = F.struct(F.col("k").isNull().alias("absent"), F.col("k").alias("k"), F.col(ROW).alias("row"))
-    own = stored(fps.join(rows.select(ROW, F.col(key).alias("k")), ROW).groupBy("fp").agg(F.min(order).alias("first")), "simhash-distinct")
+    own = stored(fps.join(rows.select(ROW, F.col(names[key]).alias("k")), ROW).groupBy("fp").agg(F.min(order).alias("first")), "simhash-distinct")
     roots = components(links(own, threshold)).withColumnRenamed("node", "fp")
     least = own.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     gone = stored(fps.select(ROW).join(least.select(F.col("first.row").alias(ROW)), ROW, "left_anti"), "simhash-gone")
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    return restored(rows.join(gone, ROW, "left_anti"), docs)

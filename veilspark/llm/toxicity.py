@@ -36,8 +36,6 @@ REACH = 3
 LEAST_NEW, MOST_CLEAN = 3, 0.02
 #: The same for beginnings that stand in a text twice or more: these become weak insults.
 MOST_CLEAN_TWICE = 0.3
-#: Candidates for insults that are looked at together, most frequent first.
-MOST_CANDIDATES = 20_000
 BEGINNINGS = range(4, 10)
 DENSE = 0.003
 
@@ -202,23 +200,30 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column | None = None, key:
     rows = stored(docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(some), "k").select("k", "y", "t"), "toxic-sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        n: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([v[i] for v in n.values()], pa.int64()) for i in (0, 1))], names=["f", "clean", "toxic"])
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([v[i] for v in n.values()], pa.int64()) for i in (0, 1, 2))], names=["f", "clean", "toxic", "where"])
 
         for b in batches:
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for y, t, h in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 for f in _features(t):
-                    n[f][y > 0] += 1
+                    v = n[f]
+                    v[y > 0] += 1
+                    if y > 0:
+                        v[2] ^= h
                 if len(n) > 400_000:
                     yield out()
                     n.clear()
         yield out()
 
-    counts = rows.select("y", "t").mapInArrow(counted, "f string, clean bigint, toxic bigint").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = rows.select("y", "t", F.xxhash64("k", "t").alias("h")).mapInArrow(counted, "f string, clean bigint, toxic bigint, where bigint").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_xor("where").alias("where"))
     counts = counts.where((F.col("toxic") >= LEAST_NEW) & (F.col("clean") <= F.when(F.col("f").endswith("**"), MOST_CLEAN_TWICE).otherwise(MOST_CLEAN) * F.col("toxic")))
-    candidates = {r["f"]: (r["toxic"], r["clean"]) for r in counts.orderBy(F.desc("toxic"), "f").limit(MOST_CANDIDATES).collect()}
+    # features of the same toxic texts and as many clean ones gain the same: the one that cover prefers stands for all.
+    # What is left is bounded by the sample.
+    liked = F.struct((F.col("f").endswith("*") & ~F.col("f").endswith("**")).alias("whole"), F.col("f").endswith("**").alias("weak"), F.length("f").alias("n"), "f")
+    kept = counts.groupBy("toxic", "clean", "where").agg(F.max(liked).alias("best")).select("best.f", "toxic", "clean")
+    candidates = {r["f"]: (r["toxic"], r["clean"]) for r in kept.collect()}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
