@@ -154,8 +154,10 @@ def cached_union(fresh: Column, cached: Column) -> Column:
     return F.array_sort(F.concat(fresh, old), lambda a, b: a["start"] - b["start"])
 
 
-def full_over_fast(fast: DataFrame, full: DataFrame, keys: list[str]) -> DataFrame:
-    """Results of the slower detector replace those of the fast one where it ran."""
+def full_over_fast(fast: DataFrame, full: DataFrame, keys: list[str], within: int | None = None) -> DataFrame:
+    """Results of the slower detector replace those of the fast one where it ran; within: only those that took (a column
+    of full, in milliseconds) no longer than that."""
+    full = full if within is None else full.where(F.col("took") <= within)
     other = full.select(*keys, F.col("findings").alias("_full"), F.col("topics").alias("_topics"))
     joined = fast.join(other, keys, "left")
     return joined.withColumn("findings", F.coalesce("_full", "findings")).withColumn("topics", F.coalesce("_topics", "topics")).drop("_full", "_topics")

@@ -12,6 +12,10 @@ from ..functions.scalars import mask_value, rounded, url_component, weight_of
 from ..schema import TOPIC_WEIGHT
 
 
+#: Fixed value: so many months without hits are filled in.
+MOST_MONTHS = 1200
+
+
 def users(messages: DataFrame, provider: str | None = None) -> DataFrame:
     """User messages, of one provider if it is named."""
     rows = messages.where("role = 'user'")
@@ -54,10 +58,12 @@ def ordinals(user_messages: DataFrame) -> DataFrame:
     return ranged.join(base, "_p").select("conversation_id", "first", (F.col("_base") + F.col("_i") + 1).alias("n"), "last_at")
 
 
-def numbered(user_messages: DataFrame) -> DataFrame:
-    """ordinals by one window over conversations: for reports of one person's export."""
-    each = user_messages.groupBy("conversation_id").agg(F.min("seq").alias("first"), F.max("created_at").alias("last_at"))
-    return each.withColumn("n", F.row_number().over(Window.orderBy("first")).cast("bigint"))
+def places(user_messages: DataFrame, some: DataFrame) -> DataFrame:
+    """conversation_id and n, its place by first message, of some conversations of a top: for each of these few, the
+    conversations that begin no later are counted, with partial sums."""
+    each = user_messages.groupBy("conversation_id").agg(F.min("seq").alias("first"))
+    mine = each.join(F.broadcast(some.select("conversation_id")), "conversation_id", "left_semi").select("conversation_id", F.col("first").alias("_own"))  # as few as the top has
+    return each.select("first").join(F.broadcast(mine), F.col("first") <= F.col("_own")).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def conversation_risk(hit: DataFrame) -> DataFrame:
@@ -79,19 +85,21 @@ def riskiest(hit: DataFrame, user_messages: DataFrame, n: int = 10) -> DataFrame
     risk = hit.groupBy("conversation_id").agg(F.sum("weight").alias("risk"), F.min("ord").alias("first"))
     top = risk.join(times, "conversation_id").orderBy(F.desc("risk"), F.desc_nulls_last("last_at"), "first").limit(n)
     about = conversation_risk(hit.join(F.broadcast(top.select("conversation_id")), "conversation_id", "left_semi")).select("conversation_id", "types", "examples")  # n rows
-    place = numbered(user_messages).select("conversation_id", F.concat(F.lit("Conversation "), F.col("n").cast("string")).alias("title"))
+    place = places(user_messages, top).select("conversation_id", F.concat(F.lit("Conversation "), F.col("n").cast("string")).alias("title"))
     rows = top.join(about, "conversation_id").join(place, "conversation_id")
     url = F.coalesce("url", F.concat(F.lit("https://chatgpt.com/c/"), url_component(F.col("conversation_id"))))
     return rows.orderBy(F.desc("risk"), F.desc_nulls_last("last_at"), "first").select("conversation_id", "title", url.alias("url"), F.col("risk").alias("risk_score"), "types", "last_at", "examples")
 
 
 def timeline(messages: DataFrame, hit: DataFrame) -> DataFrame:
-    """Conversations with hits in each month from the first to the last message of any role, months without any too."""
+    """Conversations with hits in each month from the first to the last message of any role, months without any too (of the
+    first MOST_MONTHS months; later ones only where they have hits)."""
     month = lambda c: F.date_trunc("month", c)
     ends = messages.agg(month(F.min("created_at")).alias("a"), month(F.max("created_at")).alias("b")).where("a is not null")
-    months = ends.select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("m"))
+    last = F.least(F.col("b"), F.add_months("a", MOST_MONTHS - 1).cast("timestamp"))
+    months = ends.select(F.explode(F.sequence("a", last, F.expr("interval 1 month"))).alias("m"))
     counts = hit.where("created_at is not null").groupBy(month(F.col("created_at")).alias("m")).agg(F.count_distinct("conversation_id").alias("n"))
-    return months.join(counts, "m", "left").select(F.date_format("m", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("conversations"))
+    return months.join(counts, "m", "full_outer").select(F.date_format("m", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("conversations"))
 
 
 def privacy_score(risk: Column, conversations: Column) -> Column:

@@ -18,6 +18,7 @@ from ..functions.scalars import epoch_time, fnv1a, iso_time, json_string, url_co
 # Fixed values.
 MOST_BYTES = 200 * 1024 * 1024
 INVALID = "no supported chat messages found"
+MANIFEST = "this file lists downloads and holds no messages"
 PRODUCTS = ("Gemini Apps", "Gemini", "Bard")
 PROMPTED = rf"(?i)\APrompted[{WS}]+"
 LONGEST, MOST_MESSAGES = 100_000, 20_000
@@ -143,21 +144,41 @@ def last_at_first_place(messages: DataFrame) -> DataFrame:
     return whole.select("seq", *keys, "v.*").select(messages.columns)
 
 
-def parse_exports(exports: DataFrame) -> DataFrame:
-    """Messages of all exports, each once."""
+def parse_exports(exports: DataFrame, strict: bool = False) -> DataFrame:
+    """Messages of all exports, each once. strict: exports without any message are an error, a manifest of its own kind."""
     rows = rows_of(exports)
     found = tree_messages(rows).unionByName(list_messages(rows)).unionByName(activity_messages(rows))
-    return last_at_first_place(first_of_each(found))
+    messages = last_at_first_place(first_of_each(found))
+    if not strict:
+        return messages
+    manifest = exports.agg(F.coalesce(F.bool_or(is_manifest(F.col("content"))), F.lit(False)).alias("manifest"))
+    empty = messages.agg(F.count(F.lit(1)).alias("n")).crossJoin(manifest).where("n = 0")  # one row each
+    return messages.unionByName(failing(empty, messages, F.when(F.col("manifest"), MANIFEST).otherwise(INVALID)))
 
 
-def ledger_messages(messages: DataFrame, longest: int | None = LONGEST) -> DataFrame:
-    """The second dialect of the same files, for the ledger: user messages under plain ids, a message over longest an error."""
+def failing(bad: DataFrame, like: DataFrame, message: str | Column) -> DataFrame:
+    """A table with the columns of `like` that has no rows where bad has none, and else is an error."""
+    told = F.lit(message) if isinstance(message, str) else message
+    return bad.select(*[F.raise_error(told).cast(f.dataType).alias(f.name) for f in like.schema.fields])
+
+
+def is_manifest(content: Column) -> Column:
+    return F.coalesce(F.try_variant_get(F.try_parse_json(content), "$.data_files", "array<variant>").isNotNull(), F.lit(False))
+
+
+def ledger_messages(messages: DataFrame, longest: int | None = LONGEST, most: int | None = MOST_MESSAGES) -> DataFrame:
+    """The second dialect of the same files, for the ledger: user messages under plain ids, by time. A message over
+    longest is an error, and so is a file of more messages than most."""
     rows = messages.where("role = 'user'")
     bare = F.regexp_replace(F.regexp_replace("conversation_id", r"\A(?:claude|gemini):", ""), r"\Ahttps://gemini\.google\.com/app/", "")
     text = F.col("text")
     if longest is not None:
         text = F.when(F.char_length(text) > longest, F.raise_error("a message is too large to scan").cast("string")).otherwise(text)
-    return rows.select("seq", F.col("provider").alias("site"), bare.alias("conversation_id"), "message_id", text.alias("text"), F.col("created_at").alias("ts"))
+    out = rows.select("seq", F.col("provider").alias("site"), bare.alias("conversation_id"), "message_id", text.alias("text"), F.col("created_at").alias("ts"))
+    if most is not None:
+        over = rows.groupBy("seq.file").count().where(F.col("count") > most)
+        out = out.unionByName(failing(over, out, f"a file holds more than {most} messages"))
+    return out.orderBy("ts", "seq")
 
 
 def manifest_links(exports: DataFrame) -> DataFrame:
@@ -165,7 +186,7 @@ def manifest_links(exports: DataFrame) -> DataFrame:
     files = F.from_json("content", "struct<data_files:array<struct<category:string,filename:string,export_url:string>>>")["data_files"]
     rows = exports.select("file", F.explode(files).alias("d")).select("file", "d.category", "d.filename", F.col("d.export_url").alias("url"))
     host = F.try_parse_url("url", F.lit("HOST"))
-    return rows.where((F.col("category") == "conversations") & F.col("url").startswith("https://") & ((host == "claude.ai") | host.endswith(".claude.ai")) & F.try_parse_url("url", F.lit("USERINFO")).isNull()).select("file", "filename", "url")
+    return rows.where((F.col("category") == "conversations") & F.col("url").startswith("https://") & (host == "claude.ai") & F.try_parse_url("url", F.lit("USERINFO")).isNull()).select("file", "filename", "url")
 
 
 def to_list_export(messages: DataFrame) -> DataFrame:

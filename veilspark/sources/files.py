@@ -74,10 +74,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def sample_events(spark: SparkSession, end: str = "2024-01-31 00:00:00", n: int = 60) -> DataFrame:
-    """n disclosure events, eight hours apart, cycling through types, sites, sources and actions."""
-    cycle = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("id") % len(values) + 1).cast("int"))
-    ts = F.timestamp_millis(F.unix_millis(F.lit(end).cast("timestamp")) - F.col("id") * 8 * 3_600_000)
-    return spark.range(n).select(F.col("id").alias("event_id"), cycle(ENTITY_TYPES).alias("type"), cycle(SITES).alias("site"), cycle(SOURCES).alias("source"), cycle(ACTIONS).alias("action"), ts.alias("ts"))
+    """n disclosure events, eight hours apart up to end, cycling through types, sites, sources (three of each) and actions
+    (renamed twice as often as the others)."""
+    cycle = lambda values, each=1: F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("id") / each) % len(values) + 1).cast("int"))
+    ts = F.timestamp_millis(F.unix_millis(F.lit(end).cast("timestamp")) - (n - 1 - F.col("id")) * 8 * 3_600_000)
+    actions = (ACTIONS[0], *ACTIONS)
+    return spark.range(n).select(F.col("id").alias("event_id"), cycle(ENTITY_TYPES).alias("type"), cycle(SITES).alias("site"), cycle(SOURCES, 3).alias("source"), cycle(actions).alias("action"), ts.alias("ts"))
 
 
 def documents_as_messages(documents: DataFrame) -> DataFrame:

@@ -60,10 +60,19 @@ def upsert(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def _stateful(events: DataFrame, key: str, step: Callable, output: str, state: str, key_type: str) -> DataFrame:
-    """Rows of a key in the order of ts, with a state between them: step(row, state) -> (output or None, state)."""
+def _stateful(events: DataFrame, key: str, step: Callable, output: str, state: str, key_type: str, late: str | None = None, expiry: Callable = lambda held: None, expired: Callable = lambda held: None) -> DataFrame:
+    """Rows of a key in the order of ts, with a state between them: step(row, state) -> (output or None, state).
+
+    late: how late rows may come. With it the state ends by itself once the stream's time has passed expiry(state), in
+    milliseconds, and expired(state) is put out; so no state stays for ever. Without it, it ends at the key's next row."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        names = [key, *(x.strip().split()[0] for x in output.split(","))]
+        if held.hasTimedOut:
+            made = expired(held.get)
+            held.remove()
+            yield pd.DataFrame([] if made is None else [(k[0], *made)], columns=names)
+            return
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         now: Any = held.get if held.exists else None
         out = []
@@ -76,13 +85,16 @@ def _stateful(events: DataFrame, key: str, step: Callable, output: str, state: s
                 held.remove()
         else:
             held.update(now)
-        names = [key, *(x.strip().split()[0] for x in output.split(","))]
+            if late is not None:
+                held.setTimeoutTimestamp(max(expiry(now), held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=names)
 
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, {output}", state, "append", GroupStateTimeout.NoTimeout)
+    timed = events if late is None else events.withWatermark("ts", late)
+    kind = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, {output}", state, "append", kind)
 
 
-def confirmed_sends(events: DataFrame) -> DataFrame:
+def confirmed_sends(events: DataFrame, late: str | None = None) -> DataFrame:
     """draft_id, conversation, prompt and sent_at of drafts that were sent.
 
     events: draft_id, kind (draft, edit, move, bubble), conversation, text, bubbles, ts. A draft is sent when more
@@ -104,10 +116,10 @@ def confirmed_sends(events: DataFrame) -> DataFrame:
             return (row["conversation"], expected, row["ts"]), None
         return None, held
 
-    return _stateful(events, "draft_id", step, "conversation string, prompt string, sent_at timestamp", "conversation string, expected string, bubbles long, expiry long", "string")
+    return _stateful(events, "draft_id", step, "conversation string, prompt string, sent_at timestamp", "conversation string, expected string, bubbles long, expiry long", "string", late, lambda held: held[3] + 1)
 
 
-def rate_limits(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
+def rate_limits(requests: DataFrame, limit: int, seconds: int = 60, late: str | None = None) -> DataFrame:
     """key, request_id, denied of requests (key, request_id, ts): a window opens at the first request after the last one closed."""
 
     def step(row: dict, held):
@@ -115,10 +127,10 @@ def rate_limits(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame
         start, n = held if held is not None and t < held[0] + seconds * 1000 else (t, 0)
         return (int(row["request_id"]), n + 1 > limit), (start, n + 1)
 
-    return _stateful(requests, "key", step, "request_id long, denied boolean", "start long, n long", "string")
+    return _stateful(requests, "key", step, "request_id long, denied boolean", "start long, n long", "string", late, lambda held: held[0] + seconds * 1000)
 
 
-def cached_answers(requests: DataFrame, answer: Callable[[str], str | None]) -> DataFrame:
+def cached_answers(requests: DataFrame, answer: Callable[[str], str | None], late: str | None = None) -> DataFrame:
     """key, request_id, answer, fresh of requests (key, request_id, ts): an answer is kept for a day, a failure (None) for
     a minute; requests at the same time share one call, being rows of one key."""
 
@@ -130,10 +142,10 @@ def cached_answers(requests: DataFrame, answer: Callable[[str], str | None]) ->
             return (int(row["request_id"]), held[0], True), held
         return (int(row["request_id"]), held[0], False), held
 
-    return _stateful(requests, "key", step, "request_id long, answer string, called boolean", "answer string, until long, good boolean", "string")
+    return _stateful(requests, "key", step, "request_id long, answer string, called boolean", "answer string, until long, good boolean", "string", late, lambda held: held[1])
 
 
-def pending_reviews(events: DataFrame) -> DataFrame:
+def pending_reviews(events: DataFrame, late: str | None = None) -> DataFrame:
     """tab, review_id and outcome (decided, replaced, expired) of reviews (tab, review_id, kind open or decide, ts): a new one
     replaces the one before it in its tab, and ten minutes end it."""
 
@@ -146,4 +158,4 @@ def pending_reviews(events: DataFrame) -> DataFrame:
             return None, held
         return (held[0], "decided" if t <= held[1] else "expired"), None
 
-    return _stateful(events, "tab", step, "review_id long, outcome string", "review_id long, expiry long", "string")
+    return _stateful(events, "tab", step, "review_id long, outcome string", "review_id long, expiry long", "string", late, lambda held: held[1] + 1, lambda held: (held[0], "expired"))
