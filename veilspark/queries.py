@@ -461,10 +461,10 @@ def r06_parse_answer(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.alias("seq"), a["answer"].alias("answer"), F.size(a["citations"]).alias("citations"))
 
 
-@query("select cast(id as bigint) as event_id, cast(id % 14 as integer) as n, strftime(timestamp '2024-01-31' - interval 8 hour * id, '%Y-%m-%d %H') as at from (select unnest(range(60)) as id)")
+@query("select cast(id as bigint) as event_id, cast(id % 14 as integer) as n, strftime(timestamp '2024-01-31' - interval 8 hour * (59 - id), '%Y-%m-%d %H') as at, ['chatgpt', 'claude', 'gemini'][id % 3 + 1] as site, ['paste', 'file', 'typed'][id // 3 % 3 + 1] as source, ['renamed', 'renamed', 'as_is', 'allowlisted'][id % 4 + 1] as action from (select unnest(range(60)) as id)")
 def s15_sample_events(spark, sf_dir):
     types = F.array(*map(F.lit, [t for t, *_ in ENTITIES]))
-    return files.sample_events(spark).select("event_id", (F.array_position(types, F.col("type")) - 1).cast("int").alias("n"), F.date_format("ts", "yyyy-MM-dd HH").alias("at"))
+    return files.sample_events(spark).select("event_id", (F.array_position(types, F.col("type")) - 1).cast("int").alias("n"), F.date_format("ts", "yyyy-MM-dd HH").alias("at"), "site", "source", "action")
 
 
 @query(r"""select doc_id, cast(length(regexp_extract_all(text, '[0-9]+')[1]) as integer) as chars, cast(strpos(text, regexp_extract_all(text, '[0-9]+')[1]) - 1 as integer) as start from documents where regexp_matches(text, '[0-9]')""")
@@ -472,3 +472,6 @@ def spans_first(spark, sf_dir):
     """Offsets of matches: of the first number of each document."""
     s = table(spark, sf_dir, "documents").select("doc_id", F.get(spans(F.col("text"), "[0-9]+"), F.lit(0)).alias("s")).where("s is not null")
     return s.select("doc_id", F.char_length("s.value").alias("chars"), F.col("s.start").alias("start"))
+
+
+from . import more_queries  # noqa: E402, F401 - adds its queries to QUERIES and ORACLES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -46,6 +48,17 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append
     return df.sparkSession.table(name)
 
 
+def collected(df: DataFrame, mode: str = "append") -> DataFrame:
+    """run_available with a name and a checkpoint of its own, below the session's spark.checkpoint.dir."""
+    spark, name = df.sparkSession, f"stream_{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
+    return run_available(df, name, f"{folder.rstrip('/')}/{name}", mode)
+
+
 def upsert(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: rows whose key isn't in the table at `target` are appended. A batch that is run again adds nothing."""
 
