@@ -115,3 +115,65 @@ def test_mined_rules_beat_the_base_rate_on_held_out_pages(spark):
 def test_labels_that_say_nothing_give_no_rules(spark):
     pages, labels = planted_pages(spark, 1600, 0.1)
     assert url_filter.mine(pages, labels).count() == 0
+
+
+def literal_score(text, words, kinds, base, rates):
+    """The grammar by a walk over each clause's words, without a table."""
+    import re
+
+    strong, weak, n = set(), 0, 0
+    for clause in re.split(r"[.!?;:,\n]", text.lower()):
+        said = re.findall(r"[a-z0-9äöüßéèêçñáíóú]+(?:'[a-z0-9]+)*", clause)
+        n += len(said)
+        light_words = 0
+        insult = threat = aimed = lightly = denied = told = False
+        best, reported, reach = 0.0, False, 0
+        for w in said:
+            p = max([words.get(w, 0.0), *(v for k, v in words.items() if k.endswith("*") and not k.endswith("**") and w.startswith(k[:-1]))])
+            light = not p and any(k.endswith("**") and w.startswith(k[:-2]) for k in words)
+            best = max(best, p)
+            light_words += light
+            bad = p > 0 or light or w in toxicity.THREATS and w not in toxicity.NEGATIONS
+            if not bad and w in toxicity.REPORTS:
+                reported = True
+            elif not bad and w in toxicity.NEGATIONS:
+                reach = toxicity.REACH
+                continue
+            elif not bad and w in toxicity.TARGETS:
+                aimed = True
+            elif bad:
+                negated = reach > 0
+                if negated:
+                    denied |= p > 0
+                elif reported:
+                    told |= p > 0
+                else:
+                    insult, lightly, threat = insult or p > 0, lightly or light, threat or not (p > 0 or light)
+            reach = max(0, reach - 1)
+        kind = "targeted threat" if threat and aimed else "targeted insult" if insult and aimed else "insult" if insult else "weak" if lightly else "reported" if told else "negated" if denied else None
+        if kind == "weak":
+            weak += light_words
+        elif kind:
+            strong.add((kind, best or 1.0))
+    if not strong and not weak:
+        return base
+    clean = 1.0
+    if weak:
+        a, b, odds = rates
+        like = lambda p: p**weak * (1 - p) ** (n - weak) / (1 - (1 - p) ** n)
+        clean = 1 / (1 + odds * like(a) / like(b))
+    for kind, p in strong:
+        clean *= 1 - kinds[kind] * p
+    return 1 - clean
+
+
+def test_toxicity_scores_by_a_literal_walk():
+    rng = random.Random(9)
+    kinds = {k: 0.3 + 0.1 * i for i, k in enumerate(toxicity.PRIORS)}
+    words = {"scum": 0.9, "idiot": 0.7, "vermin*": 0.8, "blurb**": 0.5}
+    rates = (0.2, 0.03, 0.5)
+    g = toxicity.Grammar(words, kinds, 0.02, rates)
+    pool = ["scum", "Idiot", "verminous", "blurbing", "blurbs", "kill", "you", "they", "not", "never", "said", "wrote", "the", "a", "house", "river", "isn't"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) + rng.choice((" ", " ", " ", ", ", ". ", "!\n")) for _ in range(rng.randrange(0, 40)))
+        assert abs(g.score(text) - literal_score(text, words, kinds, 0.02, rates)) < 1e-9, text

@@ -1,13 +1,16 @@
 """Toxicity (operator 6): a weighted finite-state pattern grammar over clauses.
 
-A lexical transducer turns a clause's words into classes: insult, threat, target, negation, reporting verb, other.
-A negation transducer rewrites an insult or threat that follows a negation within REACH words, a reported-speech
+A lexical transducer turns a clause's words into classes: insult, weak insult, threat, target, negation, reporting verb,
+other. A negation transducer rewrites an insult or threat that follows a negation within REACH words, a reported-speech
 transducer one that follows a reporting verb, and a target transducer reads to the clause's end and gives the kind of
 the clause. The three are composed into one table. A matched clause counts with the precision of its kind times that
-of its word, a text with the noisy-or of its clauses; isolated words outside a matched clause count nothing.
+of its word, a text with the noisy-or of its clauses. A clause with an insult and no target is a kind of its own, with a
+precision of its own; a word outside a matched clause (a threat without a target, a target alone) counts nothing.
 
-A weak insult is a beginning of words that clean texts have by chance, once in a while: it counts by how many clauses'
-words begin so, and how many that is for the text's length.
+A weak insult is a beginning of words that clean texts have by chance, once in a while. So its arcs, and those of other
+words, carry the log of how much likelier they are in a toxic text than in a clean one; a clause of the kind weak weighs
+the sum of its arcs, any other clause that of its words as others, and the sum over clauses gives the posterior (of texts
+with one such clause at least).
 
 Insults are learned from labelled rows, beside a short list to start with: words and beginnings of words that stand in
 toxic texts and hardly ever in others, chosen by sequential covering, so that a text already explained supports no
@@ -22,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from math import exp, log, log1p
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,7 +41,6 @@ LEAST_NEW, MOST_CLEAN = 3, 0.02
 #: The same for beginnings that stand in a text twice or more: these become weak insults.
 MOST_CLEAN_TWICE = 0.3
 BEGINNINGS = range(4, 10)
-DENSE = 0.003
 
 INSULTS = "idiot moron loser scum stupid pathetic worthless disgusting imbecile dumbass asshole bastard".split()
 THREATS = "kill hurt beat destroy murder shoot stab töte töten umbringen tuer frapper matar golpear".split()
@@ -48,7 +51,9 @@ REPORTS = "said says called wrote quoted claims alleged sagte schrieb nannte dit
 O, I, W, H, T, N, R = "other", "insult", "weak", "threat", "target", "negation", "report"
 CLASSES = (O, I, W, H, T, N, R)
 #: (toxic, clean) pseudo-counts of each kind of clause.
-PRIORS = {"insult": (8, 2), "targeted insult": (9, 1), "targeted threat": (8, 2), "negated": (1, 3), "reported": (1, 3), "weak": (1, 9), "weak twice": (2, 3), "weak twice, dense": (3, 2), "weak often": (2, 3), "weak often, dense": (8, 1)}
+PRIORS = {"insult": (8, 2), "targeted insult": (9, 1), "targeted threat": (8, 2), "negated": (1, 3), "reported": (1, 3), "weak": (1, 9)}
+#: (weak words, all words) that count beside those seen in toxic and in clean texts.
+WEAK_PRIORS = ((1.0, 100.0), (0.2, 100.0))
 
 _CLAUSE = re.compile(r"[^.!?;:,\n]+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
@@ -118,9 +123,12 @@ def composed(parts: list[Transducer], symbols: Iterable[str]) -> tuple[list[dict
 
 
 class Grammar:
-    """words: insults and their precisions; a key with a * at its end is the beginning of a word, one with ** a weak one."""
+    """words: insults and their precisions; a key with a * at its end is the beginning of a word, one with ** a weak one.
 
-    def __init__(self, words: dict[str, float], kinds: dict[str, float], base: float):
+    weak_rates: the share of weak words in toxic and in clean texts with a weak clause, and the odds of being toxic of these."""
+
+    def __init__(self, words: dict[str, float], kinds: dict[str, float], base: float, weak_rates: tuple[float, float, float] = (0.01, 0.002, 1 / 9)):
+        self.weak_rates = weak_rates
         self.weak = tuple(k[:-2] for k in words if k.endswith("**"))
         words = {k: p for k, p in words.items() if not k.endswith("**")}
         self.words, self.kinds, self.base = words, kinds, base
@@ -156,24 +164,32 @@ class Grammar:
             end = clause.end()
             seed = self.seed.search(lower, end)
 
-    def matches(self, text: str) -> set[tuple[str, float]]:
-        """(kind, precision of its word) of what a text has; all weak clauses together are one, by count and density."""
+    def matches(self, text: str) -> tuple[set[tuple[str, float]], int, int]:
+        """What a text has: (kind, precision) of its clauses that aren't weak, how many weak words its weak clauses have,
+        and how many words there are in all."""
         found, weak = set(), 0
         for kind, weight in self.clauses(text):
             if kind == "weak":
-                weak += weight
+                weak += int(weight)
             else:
                 found.add((kind, weight))
-        if weak:
-            dense = ", dense" if weak > 1 and weak >= DENSE * len(_WORD.findall(text)) else ""
-            found.add((("weak", "weak twice", "weak often")[min(weak, 3) - 1] + dense, 1.0))
-        return found
+        return found, weak, len(_WORD.findall(text)) if weak else 0
+
+    def weak_posterior(self, weak: int, words: int) -> float:
+        """How likely a text with so many weak words in weak clauses (one at least) is toxic."""
+        toxic, clean, odds = self.weak_rates
+        some = log1p(-((1 - toxic) ** words)) - log1p(-((1 - clean) ** words))  # that there is one is known
+        sum_ = log(odds) + weak * log(toxic / clean) + (words - weak) * (log1p(-toxic) - log1p(-clean)) - some
+        return 1 / (1 + exp(-max(-700.0, min(700.0, sum_))))
 
     def score(self, text: str | None) -> float:
-        clean = 1.0
-        for kind, weight in self.matches(text or ""):
+        found, weak, words = self.matches(text or "")
+        if not found and not weak:
+            return self.base
+        clean = 1 - self.weak_posterior(weak, words) if weak else 1.0
+        for kind, weight in sorted(found):
             clean *= 1 - self.kinds[kind] * weight
-        return self.base if clean == 1 else 1 - clean
+        return 1 - clean
 
 
 def _features(text: str) -> set[str]:
@@ -241,8 +257,12 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column | None = None, key:
         n: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k in {k for k, _ in first.matches(t)} or {""}:
+                found, weak, words = first.matches(t)
+                for k in {k for k, _ in found}:
                     n[k][y > 0] += 1
+                if not found:  # texts that only weak clauses speak against, and those without any match
+                    for k, x in (("weak", 1), ("weak words", weak), ("words", words)) if weak else (("", 1),):
+                        n[k][y > 0] += x
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([v[i] for v in n.values()], pa.int64()) for i in (0, 1))], names=["k", "clean", "toxic"])
 
     seen = {r[0]: (r[2], r[1]) for r in rows.select("y", "t").mapInArrow(kinds, "k string, clean bigint, toxic bigint").groupBy("k").agg(F.sum("clean"), F.sum("toxic")).collect()}
@@ -250,8 +270,19 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column | None = None, key:
     for k, (a, b) in PRIORS.items():
         toxic_n, clean_n = seen.get(k, (0, 0))
         weights[k] = (toxic_n + a) / (toxic_n + clean_n + a + b)
+    rates = [weak_rate(*(seen.get(k, (0, 0))[i] for k in ("weak words", "words", "weak")), *prior) for i, prior in enumerate(WEAK_PRIORS)]
     none = seen.get("", (0, 0))
-    return Grammar(words, weights, min(0.5, (none[0] + 1) / (sum(none) + 50)))
+    return Grammar(words, weights, min(0.5, (none[0] + 1) / (sum(none) + 50)), (rates[0], rates[1], weights["weak"] / (1 - weights["weak"])))
+
+
+def weak_rate(weak: int, words: int, texts: int, more_weak: float, more_words: float) -> float:
+    """The share of weak words, from texts that have one at least: the mean number of these is that of a binomial
+    without its zero."""
+    share, length = (weak + more_weak) / (words + more_words), (words + more_words) / (texts + 1)
+    rate = share
+    for _ in range(100):
+        rate = share * (1 - (1 - rate) ** length)
+    return max(rate, share / 10)  # where texts have one each, nothing speaks for any rate over 0
 
 
 def cover(toxic: list[set[str]], candidates: dict[str, tuple[int, int]], given: set[str]) -> list[str]:
