@@ -12,6 +12,8 @@ from ..sources.files import spread
 
 #: A key is hot that has one of so many parts of all rows.
 HOT = 1000
+#: Whether Spark removes shuffle files when the query that wrote them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,13 +41,29 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts the lineage, and survives lost executors."""
+    """df written as a table in the shared folder and read again: cuts the lineage, and survives lost executors.
+
+    Shuffle files of the write are of no use once the table is there, so they are removed with its end."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def joined_once(rows: DataFrame, each: DataFrame, key: str, n: str) -> DataFrame:
     """rows with the columns of each but n, which has one row for each key and n, how many of rows have it.
 
