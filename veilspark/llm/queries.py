@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, license_scan, media, packing, quality_rules, simhash, token_counts, toxicity, url_filter
+from . import alignment, bpe_codec, importance, language_id, license_scan, line_dedup, media, packing, quality_rules, simhash, token_counts, toxicity, url_filter
 from .common import doc_hash, table
 
 
@@ -64,4 +64,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_media_columns, op4_simhash, op5_bpe_round_trip, op6_toxicity, op7_token_counts, op8_license_scan, op9_quality_rules, op10_language_id)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_media_columns, op4_simhash, op5_bpe_round_trip, op6_toxicity, op7_token_counts, op8_license_scan, op9_quality_rules, op10_language_id, op11_line_dedup, op12_alignment, op13_importance)}
+
+#: The other operators have learned models, tokenizers or byte hashes that SQL doesn't have; tests hold them against brute force.
+ORACLES = {"op11_line_dedup": line_dedup.ORACLE}
