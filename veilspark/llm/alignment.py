@@ -2,8 +2,10 @@
 
 Texts are tokenised in one Arrow pass that returns ids and byte ends of both vocabularies. All else is array functions:
 the ends that both have (array_intersect) cut the tokens into groups. Two tokens overlap in one stretch of bytes without
-any end inside, so each end of either vocabulary stands for one link; both arrays of ends sorted together give the place
-of a link's two tokens by counting, without a search. Everything is in proportion to the tokens, or the sort of their ends.
+any end inside, so each end of either vocabulary stands for one link. Where both have an end, both go on to their next
+token; where only one has, the other's token is in one more link. So both arrays of ids, with tokens repeated at the
+other's own ends, stand side by side link for link, and functions of elements run over own ends and results only.
+Everything is in proportion to the tokens, or the sort of their ends.
 
 A pair of ids is counted once for each document that links it. Documents take the counts back by a broadcast of the pairs
 where these are few enough, which is looked at, else by a shuffled join in which hot pairs go apart.
@@ -22,8 +24,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import per_text
+from .batches import Ragged, per_text
 from .common import HOT, stored
+from .pretokens import Memory, byte_level
 from .token_counts import _byte_letters
 
 ROW = "_aligned_row"
@@ -31,7 +34,8 @@ ROW = "_aligned_row"
 BROADCAST = 2_000_000
 #: Characters tokenised at once.
 _AT_ONCE = 1 << 20
-_HALF = (1 << 32) - 1
+#: Of so many ends one is looked at first in a search.
+BLOCK = 16
 
 
 class Tokenizers:
@@ -50,25 +54,34 @@ class Tokenizers:
             held = json.load(f)
         byte_of = {letter: b for b, letter in enumerate(_byte_letters())}
         spelled = {i: t for t, i in held["model"]["vocab"].items()}
-        self.a_bytes = [bytes(byte_of[c] for c in spelled[i]) if i in spelled and all(c in byte_of for c in spelled[i]) else b"" for i in range(max(spelled) + 1)]
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.a_length, self.b_length = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
+        self.a_tokens = Ragged([bytes(byte_of[c] for c in spelled.get(i, "") if c in byte_of) for i in range(max(spelled) + 1)])
+        self.b_tokens = Ragged([self._piece(i) for i in range(self.b.get_piece_size())])
+        split, kinds = held.get("pre_tokenizer") or {}, ("type", "add_prefix_space", "use_regex")
+        #: Pre-tokens are encoded by themselves and remembered where the vocabulary's are those of byte_level.
+        self.known = Memory(self._find) if [split.get(k) for k in kinds] == ["ByteLevel", False, True] and not held.get("normalizer") else None
+
+    def _find(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_a(self, texts: list[str]) -> list[np.ndarray]:
+        found = [b"".join(self.known.of(byte_level(t))) for t in texts] if self.known else self._find(texts)
+        return [np.frombuffer(f, np.int32) for f in found]
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _ends(self, ids: list[int], spelling: list[bytes], length: np.ndarray, text: bytes) -> np.ndarray | None:
-        return np.cumsum(length[ids]) if b"".join([spelling[i] for i in ids]) == text else None
+    @staticmethod
+    def _ends(ids: np.ndarray, spelling: Ragged, text: bytes) -> np.ndarray | None:
+        return np.cumsum(spelling.length[ids]) if spelling.joined(ids) == text else None
 
     def both(self, texts: list[str]) -> list[tuple]:
         """ids and ends by A, ids and ends by B of each text, which isn't empty."""
         out = []
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        for text, own, other in zip(texts, a, self.b.encode(texts, num_threads=1), strict=True):
-            ids, whole = own.ids, b" " + text.encode()
-            ends_a, ends_b = self._ends(ids, self.a_bytes, self.a_length, whole), self._ends(other, self.b_bytes, self.b_length, whole)
-            out.append(([], [], [], []) if ends_a is None or ends_b is None else (ids, ends_a, other, ends_b))
+        for text, a, b in zip(texts, self._ids_a([" " + t for t in texts]), self.b.encode(texts, num_threads=1), strict=True):
+            b, whole = np.array(b, np.int32), b" " + text.encode()
+            ends_a, ends_b = self._ends(a, self.a_tokens, whole), self._ends(b, self.b_tokens, whole)
+            out.append(([], [], [], []) if ends_a is None or ends_b is None else (a, ends_a, b, ends_b))
         return out
 
 
@@ -115,79 +128,77 @@ def _indexes(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _tokens_before(ends: Column, common: Column) -> Column:
-    """For each common end, how many of the ends are at or before it. Both are sorted."""
-    tagged = F.sort_array(F.concat(F.transform(ends, lambda e: e.cast("bigint") * 2), F.transform(common, lambda e: e.cast("bigint") * 2 + 1)))
+def _until(sorted_: Column, some: Column) -> Column:
+    """For each of some, how many of sorted_ are at or before it. Both are sorted; equal ones may repeat in sorted_."""
+    tagged = F.sort_array(F.concat(F.transform(sorted_, lambda e: e.cast("bigint") * 2), F.transform(some, lambda e: e.cast("bigint") * 2 + 1)))
     places = F.filter(F.transform(tagged, lambda x, p: F.when(x % 2 == 1, p)), lambda p: p.isNotNull())
-    return F.transform(places, lambda p, g: p - g)
-
-
-def cuts(ends_a: Column, ends_b: Column) -> Column:
-    """(a, b) for each group: how many tokens of each vocabulary stand up to its end."""
-    def both(common: Column) -> Column:
-        return _let(lambda x, y: F.transform(x, lambda n, g: F.struct(n.alias("a"), F.element_at(y, g + 1).alias("b"))), x=_tokens_before(ends_a, common), y=_tokens_before(ends_b, common))
-
-    return _let(both, common=F.array_intersect(ends_a, ends_b))
+    return F.transform(places, lambda p, i: p - i)
 
 
-def groups(ids_a: Column, ids_b: Column, cut: Column) -> Column:
-    """`a1,a2|b1` for each group, in order."""
+def _places(sorted_: Column, some: Column) -> Column:
+    """Where in sorted_ each of some stands, from 0. some are members, sorted: one in BLOCK of sorted_ is looked at first."""
 
-    def some(ids: Column, start: Column, end: Column) -> Column:
-        return F.array_join(F.slice(ids, start + 1, end - start), ",")
+    def within(s: Column, some: Column) -> Column:
+        heads = F.transform(_indexes(F.ceil(F.size(s) / BLOCK).cast("int")), lambda b: F.element_at(s, b * BLOCK + 1))
+        return _let(
+            lambda s, some, upto: F.transform(some, lambda x, i: (F.element_at(upto, i + 1) - 1) * BLOCK + F.array_position(F.slice(s, (F.element_at(upto, i + 1) - 1) * BLOCK + 1, F.lit(BLOCK)), x).cast("int") - 1),
+            s=s, some=some, upto=_until(heads, some),
+        )
 
-    def text(a: Column, b: Column, cut: Column) -> Column:
-        def one(g: Column) -> Column:
-            start = lambda side: F.when(g == 0, 0).otherwise(F.element_at(cut, g)[side])
-            end = F.element_at(cut, g + 1)
-            return F.concat(some(a, start("a"), end["a"]), F.lit("|"), some(b, start("b"), end["b"]))
+    return _let(within, s=sorted_, some=some)
 
-        return F.transform(_indexes(F.size(cut)), one)
 
-    return _let(text, a=ids_a.cast("array<string>"), b=ids_b.cast("array<string>"), cut=cut)
+def _repeated(ids: Column, after: Column) -> Column:
+    """ids with the one after the first n once more, for each n of after: a token is in a link for each part of it."""
+    start = lambda k: F.when(k == 0, 0).otherwise(F.element_at(after, k))
+    n = F.size(after)
+    parts = F.transform(_indexes(n), lambda k: F.slice(ids, start(k) + 1, F.element_at(after, k + 1) - start(k) + 1))
+    return F.concat(F.flatten(parts), F.slice(ids, start(n) + 1, F.size(ids) - start(n)))
 
 
-def links(ids_a: Column, ids_b: Column, ends_a: Column, ends_b: Column) -> Column:
-    """The pair of ids, that of A in the upper half of a long, of each link in order of its last byte.
+def _text(a: Column, b: Column, which: Column, upto_a: Column, upto_b: Column) -> Column:
+    """`a1,a2|b1;a3|b2` of all groups. which: the groups of more than two tokens, upto_*: how many own ends up to each.
 
-    In both arrays of ends sorted together, the i-th end of A at place p has p - i ends of B before it, and so the
-    number of B's token over that byte; an end that both have comes first from A, and B's is left out."""
+    Groups of one token each, which stand between those, are passed on a run at a time."""
 
-    def tagged(ends: Column, kind: int) -> Column:  # end, whose it is, its number
-        return F.transform(ends, lambda e, i: F.shiftleft(e.cast("bigint"), 32) + (F.lit(kind << 31) + i.cast("bigint")))
+    def ends(q: Column, upto: Column) -> Column:  # behind the q-th group of several tokens, counted from 1
+        return F.when(q == 0, 0).otherwise(F.element_at(which, q) + F.element_at(upto, q) + 1)
 
-    def found(order: Column, a: Column, b: Column) -> Column:
-        def one(p: Column) -> Column:
-            def pair(x: Column, before: Column) -> Column:
-                of_b = x.bitwiseAND(F.lit(1 << 31)) != 0
-                i = x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-                twice = of_b & (F.shiftright(x, 32) == F.shiftright(before, 32))
-                at_a, at_b = F.when(of_b, p - i).otherwise(i), F.when(of_b, i).otherwise(p - i)
-                return F.when(~twice, F.shiftleft(F.element_at(a, at_a + 1).cast("bigint"), 32) + F.element_at(b, at_b + 1))
+    def run(q: Column) -> Column:
+        start_a, start_b = ends(q, upto_a), ends(q, upto_b)
+        n = F.when(q == F.size(which), F.size(a) - start_a).otherwise(F.element_at(which, q + 1) - F.when(q == 0, 0).otherwise(F.element_at(which, q) + 1))
+        both = F.arrays_zip(F.slice(a, start_a + 1, n), F.slice(b, start_b + 1, n)).cast("string")  # [{a1, b1}, {a2, b2}]
+        return F.when(n > 0, F.replace(F.replace(F.btrim(both, F.lit("[{}]")), F.lit("}, {"), F.lit(";")), F.lit(", "), F.lit("|")))
 
-            return _let(pair, x=F.element_at(order, p + 1), before=F.when(p > 0, F.element_at(order, p)).otherwise(F.lit(-1)))
+    def group(q: Column) -> Column:
+        def side(ids: Column, upto: Column) -> Column:
+            start = F.element_at(which, q + 1) + F.when(q == 0, 0).otherwise(F.element_at(upto, q))
+            return F.array_join(F.slice(ids, start + 1, ends(q + 1, upto) - start), ",")
 
-        return F.filter(F.transform(_indexes(F.size(order)), one), lambda x: x.isNotNull())
+        return F.when(q < F.size(which), F.concat_ws("|", side(a, upto_a), side(b, upto_b)))
 
-    return _let(found, order=F.sort_array(F.concat(tagged(ends_a, 0), tagged(ends_b, 1))), a=ids_a, b=ids_b)
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(which)), lambda q: F.nullif(F.concat_ws(";", run(q), group(q)), F.lit(""))), ";")
 
 
 def aligned(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_a, n_b, n_groups, n_single (groups of one token each), groups (as text) and links of each row.
-
-    Each projection's arrays are made once: an optimizer that merged the projections would have them made for each use."""
-    tokens = tokenised(docs, byte_level, pieces, key, text)
-    columns = [F.col(c) for c in ("a", "b", "ends_a", "ends_b")]
-
-    def row(a: Column, b: Column, ends_a: Column, ends_b: Column) -> Column:
-        def rest(cut: Column) -> Column:
-            alone = F.aggregate(cut, F.struct(F.lit(0).alias("n"), F.lit(0).alias("a"), F.lit(0).alias("b")), lambda s, c: F.struct((s["n"] + F.when((c["a"] - s["a"] == 1) & (c["b"] - s["b"] == 1), 1).otherwise(0)).alias("n"), c["a"].alias("a"), c["b"].alias("b")), lambda s: s["n"])
-            return F.struct(F.size(cut).alias("n_groups"), alone.alias("n_single"), groups(a, b, cut).alias("groups"))
-
-        return _let(rest, cut=cuts(ends_a, ends_b))
-
-    found = tokens.select(key, F.size("a").alias("n_a"), F.size("b").alias("n_b"), row(*columns).alias("r"), links(*columns).alias("links"))
-    return found.select(key, "n_a", "n_b", "r.n_groups", "r.n_single", "r.groups", "links")
+    """key, n_a, n_b, n_groups, n_single (groups of one token each), groups (`a1,a2|b1;a3|b2,b3`) and links (pairs of ids,
+    A's in the upper half of a long, in order) of each row.
+
+    Step by step, as every array is used several times by the next step. The k-th token with an end of its own, at place
+    i, is in group i - k, together with its successor."""
+    t = tokenised(docs, byte_level, pieces, key, text)
+    t = t.select("*", F.array_intersect("ends_a", "ends_b").alias("common"))
+    t = t.select("*", F.array_except("ends_a", "common").alias("only_a"), F.array_except("ends_b", "common").alias("only_b"))
+    t = t.select("*", _places(F.col("ends_a"), F.col("only_a")).alias("at_a"), _places(F.col("ends_b"), F.col("only_b")).alias("at_b"))
+    group = lambda c: F.transform(c, lambda i, k: i - k)
+    t = t.select("*", group(F.col("at_a")).alias("group_a"), group(F.col("at_b")).alias("group_b"))
+    # tokens of the other vocabulary before an own end: as many with common ends as groups, and others
+    before = lambda own, other, mine: F.zip_with(F.col(own), _until(F.col(other), F.col(mine)), lambda x, y: x + y)
+    t = t.select("*", before("group_b", "only_a", "only_b").alias("before_b"), before("group_a", "only_b", "only_a").alias("before_a"), F.sort_array(F.array_union("group_a", "group_b")).alias("which"))
+    t = t.select("*", _until(F.col("group_a"), F.col("which")).alias("upto_a"), _until(F.col("group_b"), F.col("which")).alias("upto_b"), _repeated(F.col("a"), F.col("before_b")).alias("links_a"), _repeated(F.col("b"), F.col("before_a")).alias("links_b"))
+    pairs = F.zip_with("links_a", "links_b", lambda x, y: F.shiftleft(x.cast("bigint"), 32) + y)
+    sizes = [F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("common").alias("n_groups"), (F.size("common") - F.size("which")).alias("n_single")]
+    return t.select(key, *sizes, F.when(F.size("a") > 0, _text(*[F.col(c) for c in ("a", "b", "which", "upto_a", "upto_b")])).otherwise("").alias("groups"), pairs.alias("links"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -209,7 +220,7 @@ def _with_counts(each: DataFrame, counts: DataFrame, total: int) -> DataFrame:
 def digest(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 and n_single of each row of docs."""
     found = aligned(docs, byte_level, pieces).withColumn(ROW, F.monotonically_increasing_id())
-    digested = F.when(F.col("n_a") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
+    digested = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
     rows = stored(found.select(ROW, "doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_a", "n_b", "n_groups", "n_single")], digested.alias("groups_sha256"), "links"), "aligned")
     counts = stored(pair_counts(rows), "aligned-pairs")
     each = _with_counts(rows.select(ROW, F.explode("links").alias("pair")), counts, rows.count())
