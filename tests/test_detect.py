@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.dialect import spans
-from veilspark.operators.ner import align, chunk, widen
+from veilspark.operators.ner import chunk, entities_of, mentions
 from veilspark.operators.resolve import detect, exploded, resolve, settler, with_keys
 from veilspark.schema import FINDING, PRIORITIES, SEVERITY, WEIGHTS, Options, UserTerms
 
@@ -97,9 +97,8 @@ def test_chunks_and_tokens():
     parts = chunk(text, 100)
     assert "".join(parts) == text and max(map(len, parts)) <= 100
     tokens = [{"entity": "B-PER", "word": "Ra", "score": 0.9}, {"entity": "I-PER", "word": "##vi", "score": 0.7}, {"entity": "I-PER", "word": "Iyer", "score": 0.8}, {"entity": "O", "word": "left", "score": 0.9}]
-    found = align("Dear Ravi Iyer's left", tokens)
-    assert [(e["start"], e["end"], round(e["score"], 3)) for e in found] == [(5, 14, 0.8)]
-    assert [(e["start"], e["end"]) for e in widen("Dear Ravi Iyer's left", found)] == [(5, 14)]
+    assert [(m.start, m.end, m.scores) for m in mentions("Dear Ravi Iyer's left", tokens)] == [(5, 14, (0.9, 0.7, 0.8))]
+    assert [(e["start"], e["end"], round(e["score"], 3)) for e in entities_of("Dear Ravi Iyer's left", tokens)] == [(5, 14, 0.8)]
 
 
 def random_candidates(seed: int, n: int, width: int) -> list[tuple]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import scalars as S
 from veilspark.functions import sql
-from veilspark.operators.ner import align, widen, with_entities
+from veilspark.operators.ner import Mention, entities_of, mentions, widened, with_entities
 from veilspark.operators.resolve import detect, exploded, full_over_fast
 from veilspark.plans import checks, policy, report
 from veilspark.schema import ENTITY_TYPES, Options, UserTerms, word_list
@@ -23,7 +23,7 @@ def token(entity, word, score=0.9, index=None):
 
 
 def test_tokens_become_entities():
-    spans = lambda text, *tokens: [(e["type"], text[e["start"] : e["end"]], round(e["score"], 3)) for e in align(text, list(tokens))]
+    spans = lambda text, *tokens: [(m.kind, text[m.start : m.end], round(sum(m.scores) / len(m.scores), 3)) for m in mentions(text, list(tokens))]
     assert spans("Bindhu came", token("B-PER", "Bin", 0.9), token("I-PER", "##dh", 0.7), token("O", "##u", 0.1)) == [("PERSON", "Bindhu", 0.8)]
     assert spans("Ann and Bo", token("B-PER", "Ann"), token("O", "and"), token("I-PER", "Bo", 0.5)) == [("PERSON", "Ann", 0.9), ("PERSON", "Bo", 0.5)]
     assert spans("Ann Bo", token("B-PER", "Ann"), token("O", "missing"), token("I-PER", "Bo")) == [("PERSON", "Ann", 0.9), ("PERSON", "Bo", 0.9)]
@@ -33,8 +33,8 @@ def test_tokens_become_entities():
 
 
 def test_entities_are_widened_joined_and_trimmed():
-    wide = lambda text, *es, stop=frozenset(): [(text[e["start"] : e["end"]], round(e["score"], 3)) for e in widen(text, list(es), stop)]
-    e = lambda a, b, score=0.9, kind="PERSON": {"type": kind, "start": a, "end": b, "score": score}
+    wide = lambda text, *es, stop=frozenset(): [(text[e["start"] : e["end"]], round(e["score"], 3)) for e in widened(text, list(es), stop)]
+    e = lambda a, b, score=0.9, kind="PERSON": Mention(kind, a, b, (score,))
     assert wide("Rohith's cat", e(0, 3)) == [("Rohith", 0.9)]
     assert wide("Ann2 x", e(0, 2)) == [("Ann", 0.9)]  # digits are no part of a word
     assert wide("Ann Bo", e(0, 3, 0.9), e(4, 6, 0.5)) == [("Ann Bo", 0.7)]
@@ -42,6 +42,16 @@ def test_entities_are_widened_joined_and_trimmed():
     assert wide("New York", e(0, 3, 0.9, "LOCATION"), e(4, 8, 0.5, "LOCATION")) == [("New", 0.9), ("York", 0.5)]
     assert wide("Hi, Ravi Iyer , dear", e(0, 20), stop=frozenset({"hi", "dear"})) == [("Ravi Iyer", 0.9)]
     assert wide("Hi", e(0, 2), stop=frozenset({"hi"})) == []
+    assert wide("Hi. Ravi", e(0, 8), stop=frozenset({"hi"})) == [("Hi. Ravi", 0.9)]  # a full stop keeps it
+    assert wide("dear hi dear", e(0, 12), stop=frozenset({"hi", "dear"})) == []
+    assert wide("O’Neil-Smith’s", e(2, 6)) == [("O’Neil-Smith", 0.9)]
+
+
+def test_pieces_of_words_are_glued():
+    found = lambda text, *tokens: [(e["type"], text[e["start"] : e["end"]], round(e["score"], 3)) for e in entities_of(text, list(tokens))]
+    assert found("Bindhu's Lima", token("O", "Bin"), token("B-PER", "##dh", 0.8), token("B-LOC", "##u", 0.1), token("B-LOC", "Lima", 0.6)) == [("PERSON", "Bindhu", 0.8), ("LOCATION", "Lima", 0.6)]
+    assert found("Jean-Luc", token("B-PER", "Jean", 0.9), token("O", "-"), token("I-PER", "Luc", 0.7)) == [("PERSON", "Jean-Luc", 0.8)]
+    assert found("a b", token("B-LOC", "##", 0.9), token("B-LOC", "zz", 0.9)) == []
 
 
 def test_model_runs_over_chunks(spark):

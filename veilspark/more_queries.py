@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .functions import scalars as S
 from .operators import ner, redact, rules
@@ -199,6 +201,43 @@ def n02_model_entities(spark, sf_dir):
     return rows.select("seq", F.substring("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start")).alias("value"), "e.start", F.round("e.score", 6).alias("score"))
 
 
+def _piece_model(parts: list[str]) -> list[list[dict]]:
+    """Words in pieces of three letters; capitalised ones behind a text's first word are persons, by their first piece only."""
+    import re
+
+    out = []
+    for p in parts:
+        words = list(re.finditer(r"[A-Za-z]+", p))
+        out.append([{"entity": "B-PER" if w[0][0].isupper() and i == 0 and w.start() > 0 else "O", "word": ("##" if i else "") + w[0][i : i + 3], "score": 0.5 + len(w[0]) / 20, "index": None} for w in words for i in range(0, len(w[0]), 3)])
+    return out
+
+
+@query("""with w as (select c_custkey as seq, c_custkey % 4 as k, case when c_custkey % 3 = 0 then 'Bindhu' else 'Ravi' end as name from customer)
+    select seq, case k when 1 then concat(name, ' Menon') else name end as value, 4 + case k when 2 then 5 else 0 end as start,
+    round(case k when 1 then (0.5 + length(name) / 20 + 0.75) / 2 when 2 then (0.7 + 0.5 + length(name) / 20) / 2 else 0.5 + length(name) / 20 end, 6)::double as score from w""")
+def n04_trimmed_entities(spark, sf_dir):
+    """Entities over whole words from pieces, without a possessive and without stop words at the edges."""
+    name = "case when k % 3 = 0 then 'Bindhu' else 'Ravi' end"
+    df = made(spark, sf_dir, f"concat('saw ', case k % 4 when 0 then concat({name}, '’s') when 1 then concat({name}, ' Menon’s') when 2 then concat('Dear ', {name}) else concat({name}, ',') end, ' house, number ', cast(k as string))")
+    rows = ner.with_entities(df, _piece_model, stopwords=frozenset({"dear"})).select("seq", "text", F.explode("entities").alias("e"))
+    return rows.select("seq", F.substring("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start")).alias("value"), "e.start", F.round("e.score", 6).alias("score"))
+
+
+@query("""with recursive cut as (select c_custkey as seq, repeat(concat('Line ', c_custkey, ' of it. '), 120 + c_custkey % 40) as rest, 0 as chunk, '' as piece from customer
+    union all select seq, substr(rest, n + 1), chunk + 1, substr(rest, 1, n) from (select seq, rest, chunk, case when length(rest) <= 1500 then length(rest)
+    when substr(rest, 1500, 1) = '.' then 1500 else 1500 - strpos(reverse(substr(rest, 1, 1500)), ' .') end as n from cut where rest <> ''))
+    select seq, chunk, length(piece) as chars, md5(piece) as piece from cut where chunk > 0""")
+def n01_model_chunks(spark, sf_dir):
+    """Texts cut for a model: after the last sentence of each piece."""
+
+    @arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([ner.chunk(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    df = made(spark, sf_dir, "repeat(concat('Line ', cast(k as string), ' of it. '), cast(120 + k % 40 as int))").select("seq", cut("text").alias("parts"))
+    return df.select("seq", F.posexplode("parts").alias("at", "part")).select("seq", (F.col("at") + 1).alias("chunk"), F.char_length("part").alias("chars"), F.md5("part").alias("piece"))
+
+
 @query("select c_custkey as seq, 'ner' as source, 'Ravi Iyer' as value from customer where c_custkey % 4 < 2 union all select c_custkey, 'rule', '10.0.0.9' from customer")
 def m07_detect_full(spark, sf_dir):
     """Model findings that reach their threshold, beside rules."""

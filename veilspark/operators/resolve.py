@@ -123,7 +123,9 @@ def scanned(text: Column, options: Options, settled: bool = True) -> Column:
             per_flag.append(flags(t) if x else [])
         return pa.StructArray.from_arrays([_resolved_column(per_row) if settled else found_column(per_row, texts), flag_column(per_flag)], names=["found", "topics"])
 
-    return scan(text)
+    # An explode of the findings has Spark infer a filter of non-empty ones and push it down to the texts, where the pass
+    # would run once more for it. It isn't pushed past what may differ from one evaluation to the next.
+    return scan.asNondeterministic()(text)
 
 
 def detect(messages: DataFrame, text: str = "text", options: Options = Options(), entities: str | None = None) -> DataFrame:

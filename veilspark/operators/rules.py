@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property, lru_cache
 from itertools import accumulate
@@ -36,7 +37,9 @@ CARD = r"(?<![\w-])(?:\d[ -]?){12,18}\d(?!\w|[ -]\d)"
 BANK = r"(?<!\w)\d{8,17}(?!\w)"
 BANK_AFTER = r"\b(?:account number|acct|a/c|account #)"
 ROUTING_NEAR = r"\b(?:routing|aba|rtn)\b"
-API_KEY = r"(?<![\w-])(?:sk-(?:proj-)?[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|xox[baprs]-[A-Za-z0-9-]{10,}|(?:sk|rk)_live_[0-9A-Za-z]{24,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})(?![\w-])|-----BEGIN (?:RSA |EC |OPENSSH |DSA |ENCRYPTED )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |OPENSSH |DSA |ENCRYPTED )?PRIVATE KEY-----"
+API_KEY = r"(?<![\w-])(?:sk-(?:proj-)?[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|xox[baprs]-[A-Za-z0-9-]{10,}|(?:sk|rk)_live_[0-9A-Za-z]{24,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})(?![\w-])"
+KEY_BEGIN = r"-----BEGIN (?:RSA |EC |OPENSSH |DSA |ENCRYPTED )?PRIVATE KEY-----"
+KEY_END = r"-----END (?:RSA |EC |OPENSSH |DSA |ENCRYPTED )?PRIVATE KEY-----"
 SECRET = r"(?<![\w/-])[A-Za-z0-9_+/-]{24,}(?![\w/-])"
 SECRET_NOT = r"^(?:[a-f\d]{32}|[a-f\d]{40}|[a-f\d]{64})$"
 PASSWORD = r"""\b(?:password|passwd|pwd|passcode|pin)(?:\s*(?:is\b|:|=)\s*|\s+(?=["']?[^\s"',;]*\d))["']?([^\s"',;]{3,})"""
@@ -66,6 +69,8 @@ _WORDS_ONLY = bytes(b if b in _LETTERS else 32 for b in range(256))
 _TOKENS = bytes(120 if b in _LETTERS + b"+/-" else 32 for b in range(256))
 _STREET_WORDS = frozenset(w.lower().encode() for w in re.search(r"Street.*Hwy", STREET)[0].split("|"))
 _KEY_MARKS = ("sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "AKIA", "AIza", "xox", "k_live_", "eyJ", "-----BEGIN ")
+_SCHEMES = ("http://", "https://", "www.")
+_ADDRESS = re.compile(r"(?<![^ \n\t])(?:https?://|www\.)[^ \n\t]*", re.IGNORECASE)
 #: (type, start, end, severity, source, confidence)
 Found = tuple[str, int, int, str, str, float]
 
@@ -108,10 +113,19 @@ class Text:
     def before(self, start: int, n: int) -> str:
         return self.text[max(0, start - n) : start]
 
+    @cached_property
+    def _addresses(self) -> tuple[list[int], list[int]]:
+        """Where the blank-separated tokens that begin as a web address start and end, found in one pass over the text."""
+        if not self.holds(b"http://", b"https://", b"www."):
+            return [], []
+        spans = [m.span() for m in _ADDRESS.finditer(self.text)]
+        return [a for a, _ in spans], [b for _, b in spans]
+
     def in_url(self, start: int) -> bool:
-        """Whether the blank-separated token around start begins as a web address."""
-        token = 1 + max(self.text.rfind(blank, 0, start + 1) for blank in " \n\t")
-        return self.text[token : start + 8].lower().startswith(("http://", "https://", "www."))
+        """Whether the blank-separated token around start begins as a web address up to there."""
+        starts, ends = self._addresses
+        at = bisect_right(starts, start) - 1
+        return at >= 0 and start < ends[at] and self.text[starts[at] : start + 8].lower().startswith(_SCHEMES)
 
 
 Rule = Callable[[Text], Iterator[Found]]
@@ -203,9 +217,22 @@ def bank(t: Text) -> Iterator[Found]:
 
 
 def api_key(t: Text) -> Iterator[Found]:
-    if (t.run(13) or "-----BEGIN " in t.text) and any(k in t.text for k in _KEY_MARKS):
-        for m in _compiled(API_KEY).finditer(t.text):
-            yield _found("API_KEY", *m.span())
+    """Tokens of known shapes, and key blocks: from a begin mark to the next end mark, which are looked for once."""
+    if not ((t.run(13) or "-----BEGIN " in t.text) and any(k in t.text for k in _KEY_MARKS)):
+        return
+    blocks = "-----BEGIN " in t.text
+    closing = [m.span() for m in _compiled(KEY_END).finditer(t.text)] if blocks else []
+    behind = 0
+    for m in _compiled(f"{API_KEY}|{KEY_BEGIN}" if blocks else API_KEY).finditer(t.text):
+        if m.start() < behind:
+            continue
+        end = m.end()
+        if m[0].startswith("-----BEGIN"):
+            at = bisect_left(closing, (end, end))
+            if at == len(closing):
+                continue
+            end = behind = closing[at][1]
+        yield _found("API_KEY", m.start(), end)
 
 
 def entropy(value: str) -> float:

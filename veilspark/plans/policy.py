@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -10,9 +11,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
-from ..functions.dialect import bound, spans, stripped
+from ..functions.dialect import stripped
 from ..operators.redact import allocate, redact
 from ..operators.resolve import detect, exploded
 from ..schema import LABEL, Options
@@ -40,6 +41,7 @@ DOMAINS = {
 }
 SPLIT_LINES, SPLIT_MARKS = r"\n(?=[a-z.,;:!?)\]’])", r" +([.,;:!?)\]’])"
 # End of fixed values.
+_BLANK_LINE = re.compile(r"\n(?=\n)")
 # BM25's usual constants.
 K1, B = 1.2, 0.75
 
@@ -120,41 +122,40 @@ def policy_files(files: DataFrame) -> DataFrame:
     return files.select(F.when(good, tool).otherwise(F.raise_error("not a policy file of a known tool").cast("string")).alias("tool_id"), url.alias("source_url"), title.alias("source_title"), body.alias("text"))
 
 
+def _windows(text: str, size: int, overlap: int) -> Iterator[str]:
+    clean = text.strip()
+    blank = [m.start() for m in _BLANK_LINE.finditer(clean)]
+    start = end = 0
+    while end < len(clean):
+        end = min(start + size, len(clean))
+        last = bisect_right(blank, end - 2) - 1  # of the blank lines inside the window
+        if end < len(clean) and last >= 0 and blank[last] >= max(start + size // 2, start + 1):
+            end = blank[last]
+        if piece := clean[start:end].strip():
+            yield piece
+        start = max(start + 1, end - overlap)
+
+
 def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Overlapping pieces of a text as an array: each of at most size characters, each starting overlap before the end of
     the last. A piece ends at the last blank line of its second half where there is one.
 
-    Ends follow from each other, so they are folded over the text's places of blank lines: an end is the greatest place
-    that its window reaches, or the window's size."""
+    An end depends on the one before it; an Arrow pass follows them with a search in the sorted blank lines, in time
+    proportional to the text."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be less than the size, and not negative")
-    clean = stripped(text)
-    cuts = F.transform(spans(clean, r"\n(?=\n)"), lambda x: x["start"])
-    open_ = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-
-    def step(acc: Column, length: Column, places: Column) -> Column:
-        start = acc["start"]
-        half, full = start + size // 2, start + size
-        blank = F.array_max(F.filter(places, lambda c: (c >= half) & (c + 2 <= full) & (c > start)))
-        end = F.when(full >= length, length).otherwise(F.coalesce(blank, full))
-        piece = F.struct(start.cast("int").alias("a"), end.cast("int").alias("b"))
-        return F.struct(F.greatest(start + 1, end - overlap).cast("int").alias("start"), (end >= length).alias("done"), F.concat(acc["out"], F.array(piece)).alias("out"))
 
-    def whole(places: Column) -> Column:
-        length = F.char_length(clean)
-        # the least advance of a piece bounds how many there are
-        least = max(1, size // 2 - overlap)
-        rounds = F.sequence(F.lit(0), F.ceil(length / least).cast("int"))
-        folded = F.aggregate(rounds, open_, lambda acc, _: F.when(acc["done"] | (acc["start"] >= length), acc).otherwise(step(acc, length, places)), lambda acc: acc["out"])
-        return F.filter(F.transform(folded, lambda p: stripped(F.substring(clean, p["a"] + 1, p["b"] - p["a"]))), lambda piece: piece != "")
+    @arrow_udf("array<string>")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([list(_windows(t or "", size, overlap)) for t in column.to_pylist()], pa.list_(pa.string()))
 
-    return bound(cuts, whole)
+    return run.asNondeterministic()(text)  # an explode would have it run twice, see operators.resolve.scanned
 
 
 def chunks(sources: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """A row for each piece (chunk_text, chunk) of the rows' texts; a null or blank text has none."""
-    pieces = windows(F.coalesce("text", F.lit("")), size, overlap)
-    return sources.select(*[c for c in sources.columns if c != "text"], F.posexplode(pieces).alias("chunk", "chunk_text"))
+    others = [c for c in sources.columns if c != "text"]
+    return sources.select(*others, windows(F.col("text"), size, overlap).alias("_pieces")).select(*others, F.posexplode("_pieces").alias("chunk", "chunk_text"))
 
 
 def terms(text: Column) -> Column:

@@ -345,7 +345,17 @@ def x10_url_component(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), F.concat(F.lit("https://chatgpt.com/c/"), S.url_component(F.concat("c_name", F.lit(" é!")))).alias("url"))
 
 
-@query()
+#: The fold of windows as a recursion: an end is the last blank line of its window's second half, or the window's end.
+_BLANK = " || ".join(f"chr({c})" for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_WINDOWS = f"""with recursive t as (select doc_id, trim(coalesce(text, ''), {_BLANK}) as text from source),
+    w as (select doc_id, text, 0::bigint as start, 0::bigint as stop, 0 as n from t
+    union all select doc_id, text, start, case when start + 1200 >= length(text) then length(text) when blank > 0 then start + 1200 - blank - 1 else start + 1200 end, n + 1
+    from (select doc_id, text, n, s as start, strpos(reverse(substr(text, s + 601, 600)), chr(10) || chr(10)) as blank
+    from (select doc_id, text, n, case when n = 0 then 0 else greatest(start + 1, stop - 200) end as s from w where stop < length(text)))),
+    pieces as (select doc_id, start, trim(substr(text, start + 1, stop - start), {_BLANK}) as piece from w where n > 0)"""
+
+
+@query(_WINDOWS.replace("source", "documents") + " select doc_id, cast(row_number() over (partition by doc_id order by start) - 1 as integer) as chunk, length(piece) as chars, md5(piece) as piece from pieces where piece <> ''")
 def x12_chunks(spark, sf_dir):
     """Documents in overlapping pieces."""
     return policy.chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk", F.char_length("chunk_text").alias("chars"), F.md5("chunk_text").alias("piece"))

@@ -64,13 +64,19 @@ def extract(files: DataFrame, pdf_pages: Callable[[bytes], list[str]] | None = N
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it is read from few files.
+    """df over all cores where it is read from few files that are small together.
 
     A file of one row group is one task whatever its size, so work that costs much more than reading is shared out by a
-    round-robin exchange first. Tables of as many files as there are cores, as every large one is, are left as they are;
-    so is what has no files of its own."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    round-robin exchange first. Tables of as many files as there are cores, or large enough for a split of the usual size
+    for each core, are left as they are; so is what has no files of its own, or has been dealt out already."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if not 0 < len(df.inputFiles()) < cores:
+        return df
+    plan = df._jdf.queryExecution().analyzed()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    large = int(str(plan.stats().sizeInBytes())) >= cores * split
+    return df if large or "Repartition" in plan.toString() else df.repartition(cores)
 
 
 def sample_events(spark: SparkSession, end: str = "2024-01-31 00:00:00", n: int = 60) -> DataFrame:
