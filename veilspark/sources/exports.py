@@ -144,11 +144,15 @@ def last_at_first_place(messages: DataFrame) -> DataFrame:
     return whole.select("seq", *keys, "v.*").select(messages.columns)
 
 
+def messages_of(rows: DataFrame) -> DataFrame:
+    """Messages of the rows of all dialects, each once."""
+    found = tree_messages(rows).unionByName(list_messages(rows)).unionByName(activity_messages(rows))
+    return last_at_first_place(first_of_each(found))
+
+
 def parse_exports(exports: DataFrame, strict: bool = False) -> DataFrame:
     """Messages of all exports, each once. strict: exports without any message are an error, a manifest of its own kind."""
-    rows = rows_of(exports)
-    found = tree_messages(rows).unionByName(list_messages(rows)).unionByName(activity_messages(rows))
-    messages = last_at_first_place(first_of_each(found))
+    messages = messages_of(rows_of(exports))
     if not strict:
         return messages
     manifest = exports.agg(F.coalesce(F.bool_or(is_manifest(F.col("content"))), F.lit(False)).alias("manifest"))
