@@ -109,11 +109,11 @@ def test_timeline_is_filled_for_a_bounded_time(spark):
 def test_tables_and_answers_are_replaced_whole(spark, tmp_path):
     table = str(tmp_path / "t")
     sinks.replace_table(spark.range(5), table)
-    sinks.replace_table(spark.read.parquet(table).where("id > 2"), table)  # reads what it replaces
-    assert sorted(r["id"] for r in spark.read.parquet(table).collect()) == [3, 4] and [p.name for p in tmp_path.iterdir()] == ["t"]
+    sinks.replace_table(sinks.read_table(spark, table).where("id > 2"), table)  # reads what it replaces
+    assert sorted(r["id"] for r in sinks.read_table(spark, table).collect()) == [3, 4] and [p.name for p in tmp_path.iterdir()] == ["t"]
     with pytest.raises(Exception):
         sinks.replace_table(spark.range(3).select(F.raise_error("no").alias("id")), table)
-    assert spark.read.parquet(table).count() == 2
+    assert sinks.read_table(spark, table).count() == 2
     rows = [(t, q, text, a, [("https://x.example/", "X")]) for t in ("claude", "gemini") for q, text in policy.QUESTIONS for a in ("SAMPLE text" if t == "gemini" else "They say so.",)]
     answers = spark.createDataFrame(rows, "tool_id string, question_id string, question string, answer string, citations array<struct<url:string,title:string>>")
     target = str(tmp_path / "answers")
@@ -202,3 +202,44 @@ def test_reviews_end_by_the_streams_own_time(spark, tmp_path):
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     out = live.run_available(live.pending_reviews(s, late="1 minute"), "ended", str(tmp_path / "cp"))
     assert {(r["tab"], r["review_id"], r["outcome"]) for r in out.collect()} == {("t", 1, "expired"), ("other", 2, "decided")}
+
+
+def test_readers_see_the_last_commit(spark, tmp_path):
+    from veilspark.sources.versions import Versions
+
+    path, t = tmp_path / "t", Versions(spark, str(tmp_path / "t"))
+    assert t.read() is None and t.read("id long").count() == 0
+    assert t.append(spark.range(3), ("s", 0)) and not t.append(spark.range(9), ("s", 0)) and t.append(spark.range(3, 5), ("s", 1))
+    held = t.read()
+    spark.range(99).write.parquet(str(path / "part-killed"))  # a write that was killed before its commit
+    (path / "_commits" / f"{3:012d}").write_text('{"parts": ["part-ki')  # or in it
+    assert sorted(r["id"] for r in t.read().collect()) == [0, 1, 2, 3, 4]
+    t.replace(t.read().where("id > 3"))
+    assert [r["id"] for r in t.read().collect()] == [4] and held.count() == 5  # who reads the old version still can
+    with pytest.raises(Exception):  # another writer was there first
+        t._committed(3, [], {})
+    t.append(spark.range(10), ("s", 2))
+    t.compact(lambda rows: rows.where("id % 2 = 0"))
+    t.vacuum()
+    assert t.read().count() == 6 and len([p for p in path.iterdir() if p.name.startswith("part-")]) == 3
+
+
+def test_ledger_tables_add_once_and_stay_within_a_cap(spark, tmp_path):
+    from veilspark.sources.versions import Versions
+
+    target = str(tmp_path / "ledger")
+    rows = lambda a, b: spark.range(a, b).selectExpr("cast(id as string) id", "timestamp_seconds(id) ts")
+    for batch_id in (0, 0, 1):
+        live.appended(target, "ledger")(rows(batch_id * 10, batch_id * 10 + 10), batch_id)
+    assert Versions(spark, target).read().count() == 20
+    live.compacted(spark, target, 5)
+    assert sorted(int(r["id"]) for r in Versions(spark, target).read().collect()) == [15, 16, 17, 18, 19]
+
+
+def test_stale_results_are_dropped(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    schema = "editor string, kind string, version long, findings string, ts timestamp"
+    rows = [("e", "edit", 1, None), ("e", "result", 1, "a"), ("e", "edit", 3, None), ("e", "result", 2, "old"), ("e", "result", 3, "b"), ("f", "result", 0, "c")]
+    spark.createDataFrame([(*r, t + dt.timedelta(seconds=i)) for i, r in enumerate(rows)], schema).write.parquet(str(tmp_path / "in"))
+    out = live.run_available(live.fresh_results(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), "fresh", str(tmp_path / "cp"))
+    assert {(r["editor"], r["findings"]) for r in out.collect()} == {("e", "a"), ("e", "b"), ("f", "c")}

@@ -13,6 +13,7 @@ from veilspark.operators.resolve import detect, exploded
 from veilspark.plans import ledger, policy, report
 from veilspark.schema import COST
 from veilspark.sources import exports, files
+from veilspark.sources.versions import Versions
 from veilspark.streaming import live
 
 
@@ -150,7 +151,8 @@ def test_streams(spark, tmp_path):
     batch = spark.createDataFrame([("a",), ("a",), ("b",)], "id string")
     write(batch, 0)
     write(batch, 0)
-    assert spark.read.parquet(target).count() == 2
+    write(spark.createDataFrame([("b",), ("c",)], "id string"), 1)
+    assert sorted(r["id"] for r in Versions(spark, target).read().collect()) == ["a", "b", "c"]
 
 
 def test_cache_and_reviews(spark, tmp_path):

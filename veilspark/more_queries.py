@@ -318,12 +318,12 @@ def st08_detection_race(spark, sf_dir):
 
 
 # Report and dashboard.
-@query("""select o_orderkey % 997 as page, cast(count(*) as bigint) as listed, count(*) filter (o_orderkey % 4 = 0) as cleaned from orders where o_orderkey % 997 = 0 group by 1""")
+@query("select cast(count(*) as bigint) as listed, cast(count(*) filter (o_orderkey % 4 = 0) as bigint) as cleaned from orders")
 def a17_cleanup(spark, sf_dir):
     """How many of the listed conversations are marked as cleaned."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 997 = 0").select(F.col("o_orderkey").alias("conversation_id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("conversation_id"))
     done = o.where("conversation_id % 4 = 0")
-    return report.cleanup_progress(o, done.unionByName(done)).select(F.lit(0).cast("bigint").alias("page"), "listed", "cleaned")
+    return report.cleanup_progress(o, done.unionByName(done)).select("listed", "cleaned")
 
 
 @query("""with i as (select *, case when o_orderkey % 3 = 0 then 'chatgpt' when o_orderkey % 3 = 1 then 'chatgpt+claude' else 'gemini' end as id from orders)
@@ -474,3 +474,45 @@ def st09_live_totals(spark, sf_dir):
     """Running totals of each user."""
     return live.collected(live.live_totals(_ledger_stream(spark, sf_dir)), "complete")
 
+
+
+def _steps(spark: SparkSession, sf_dir: str, n: int, **columns: str) -> DataFrame:
+    """A stream of events in groups d of n: j is an event's place in its group; columns as SQL over d, j and event_id."""
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
+    rows = events.select("event_id", F.expr(f"event_id div {n}").alias("d"), (F.col("event_id") % n).alias("j"))
+    return rows.select("event_id", *[F.expr(c).alias(k) for k, c in columns.items()])
+
+
+@query("""with e as (select event_id // 4 as d, event_id % 4 as j from events) select cast(d as varchar) as draft_id, concat('c', d) as conversation, concat('hello ', d) as prompt, min(j) filter (j >= 2) as second
+    from e group by d having bool_or(j = 0) and bool_or(j >= 2) and d % 5 <> 0 and d % 3 <> 1 and (d % 3 = 0 or d % 2 = 0)""")
+def st03_confirmed_sends(spark, sf_dir):
+    """Drafts that were sent: not those edited to another text, moved to another conversation, or sent after 15 seconds."""
+    kind = "case j when 0 then 'draft' when 1 then case when d % 3 = 2 then 'move' else 'edit' end else 'bubble' end"
+    text = "case when j = 1 and d % 3 = 1 then 'other' else concat('hello  ', cast(d as string)) end"
+    second = "case when d % 5 = 0 and j >= 2 then 14 + j else j end"
+    stream = _steps(spark, sf_dir, 4, draft_id="cast(d as string)", kind=kind, conversation="case when j = 1 and d % 3 = 2 and d % 2 = 1 then 'x' else concat('c', cast(d as string)) end", text=text, bubbles="case when j >= 2 then j - 1 else 0L end", ts=f"timestamp_seconds({second})")
+    return live.collected(live.confirmed_sends(stream)).select("draft_id", "conversation", "prompt", F.unix_seconds("sent_at").alias("second"))
+
+
+@query("""select cast(d as varchar) as key, event_id as request_id, case when d % 5 = 0 then '' else concat(d, '!') end as answer, d % 5 = 0 or j % 4 = 0 as called from (select event_id, event_id // 6 as d, event_id % 6 as j from events)""")
+def st05_cached_answers(spark, sf_dir):
+    """Answers kept for a day and failures for a minute, for requests six hours apart."""
+    stream = _steps(spark, sf_dir, 6, key="cast(d as string)", request_id="event_id", ts="timestamp_seconds(j * 21600)")
+    return live.collected(live.cached_answers(stream, lambda k: None if int(k) % 5 == 0 else f"{k}!")).select("key", "request_id", "answer", "called")
+
+
+@query("""with e as (select event_id // 4 as d, event_id % 4 as j from events), g as (select d, max(j) as last from e group by d)
+    select 4 * d as review_id, case when d % 2 = 0 then 'replaced' else 'decided' end as outcome from g where last >= 1
+    union all select 4 * d + 1, case when d % 3 = 0 then 'expired' else 'decided' end from g where last >= 2 and d % 2 = 0""")
+def st06_pending_reviews(spark, sf_dir):
+    """Reviews decided in time, too late, or replaced by a newer one of their tab."""
+    review = "case when j = 1 and d % 2 = 1 then event_id - 1 when j = 2 then event_id - 1 - d % 2 else event_id end"
+    stream = _steps(spark, sf_dir, 4, tab="cast(d as string)", review_id=review, kind="case when j = 2 or (j = 1 and d % 2 = 1) then 'decide' else 'open' end", ts="timestamp_seconds(case j when 0 then 0 when 1 then 5 when 2 then case when d % 3 = 0 then 700 else 60 end else 2000 end)")
+    return live.collected(live.pending_reviews(stream)).select("review_id", "outcome")
+
+
+@query("select cast(event_id // 4 as varchar) as editor, event_id % 4 // 2 + 1 as version from events where event_id % 2 = 1 and (event_id % 4 = 1 or event_id // 4 % 2 = 0)")
+def st07_fresh_results(spark, sf_dir):
+    """Results of the text that stands; those of an older one are dropped."""
+    stream = _steps(spark, sf_dir, 4, editor="cast(d as string)", kind="case when j % 2 = 0 then 'edit' else 'result' end", version="case when j = 3 and d % 2 = 1 then 1L else j div 2 + 1 end", findings="'x'", ts="timestamp_seconds(j)")
+    return live.collected(live.fresh_results(stream)).select("editor", "version")

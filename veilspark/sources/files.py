@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -79,6 +81,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df if large or "Repartition" in plan.toString() else df.repartition(cores)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that all executors share, spark.checkpoint.dir of the session.
+
+    Only in a local session without that setting, as in tests, it is in a temporary folder; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def sample_events(spark: SparkSession, end: str = "2024-01-31 00:00:00", n: int = 60) -> DataFrame:
     """n disclosure events, eight hours apart up to end, cycling through types, sites, sources (three of each) and actions
     (renamed twice as often as the others)."""

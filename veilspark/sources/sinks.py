@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.policy import UNKNOWN, publishable
+from .versions import Versions
 
 ANSWERS = "tool_id string, answers array<struct<question_id:string,question:string,answer:string,citations:array<struct<url:string,title:string>>>>, generated_at string, source string"
 #: Columns that hold what users wrote; no report may have one of them.
@@ -39,41 +40,28 @@ def write_redacted(redacted: DataFrame, folder: str, path: str = "path", text: s
 
 
 def replace_table(rows: DataFrame, target: str) -> None:
-    """All rows of a table at once: they are written beside it first, so a job that fails, or reads the table itself,
-    leaves the old rows."""
-    spark = rows.sparkSession
-    new, old = f"{target}.new", f"{target}.old"
-    rows.write.mode("overwrite").parquet(new)
-    _swap(spark, new, target, old)
+    """All rows of a table at once: a job that fails, or is killed, or reads the table itself, leaves the old rows."""
+    Versions(rows.sparkSession, target).replace(rows)
 
 
-def _swap(spark: SparkSession, new: str, target: str, old: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path(old), True)
-    if fs.exists(path(target)) and not fs.rename(path(target), path(old)):
-        raise OSError(f"can't move {target}")
-    if not fs.rename(path(new), path(target)):
-        raise OSError(f"can't move {new}")
-    fs.delete(path(old), True)
+def read_table(spark: SparkSession, target: str) -> DataFrame | None:
+    """The rows that replace_table committed last."""
+    return Versions(spark, target).read()
 
 
 def write_answers(answers: DataFrame, generated_at: str, target: str) -> None:
     """The answers (tool_id, question_id, question, answer, citations) of tools that have four good ones, as one JSON
-    object for each tool; tools without keep what was there. The table is replaced by renaming."""
-    spark = answers.sparkSession
+    object for each tool; tools without keep what was there. Readers see the old answers or the new ones."""
     good = publishable(answers.where(~F.col("answer").startswith("SAMPLE"))).groupBy("tool_id").agg(F.array_sort(F.collect_list(F.struct("question_id", "question", "answer", "citations"))).alias("answers"))
     new = good.select("tool_id", "answers", F.lit(generated_at).alias("generated_at"), F.lit("fallback").alias("source"))
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        new = new.unionByName(spark.read.schema(ANSWERS).json(target).join(good.select("tool_id"), "tool_id", "left_anti"))
-    new.write.mode("overwrite").json(f"{target}.new")
-    _swap(spark, f"{target}.new", target, f"{target}.old")
+    table = Versions(answers.sparkSession, target, "json")
+    table.replace(new.unionByName(table.read(ANSWERS).join(good.select("tool_id"), "tool_id", "left_anti")))
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
     """tool_id, question_id, question, answer and citations of stored answers; a tool without four different questions is an error."""
-    rows = spark.read.schema(ANSWERS).json(path)
+    table = Versions(spark, path, "json")
+    rows = table.read(ANSWERS) if table.current()["parts"] else spark.read.schema(ANSWERS).json(path)  # or files that came with the program
     four = F.size(F.array_distinct(F.transform("answers", lambda a: a["question_id"]))) == 4
     checked = F.when(F.coalesce(four & (F.size("answers") == 4), F.lit(False)), True).otherwise(F.raise_error("stored answers are not as they should be").cast("boolean"))
     return rows.where(checked).select("tool_id", F.explode("answers").alias("a")).select("tool_id", "a.*").withColumn("known", F.col("answer") != UNKNOWN)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalars import cost_of
 from ..plans.ledger import valid_events
+from ..sources.files import scratch
+from ..sources.versions import Versions
+
+_STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # Fixed values, in milliseconds.
 SEND_EXPIRY, GATE_EXPIRY, FRESH, FAILED = 15_000, 600_000, 24 * 3_600_000, 60_000
@@ -37,74 +38,134 @@ def live_totals(events: DataFrame, by: str = "user_id", since: str | None = None
     )
 
 
+def fresh_results(events: DataFrame, late: str | None = None) -> DataFrame:
+    """editor, version and findings of results that are not stale. events: editor, kind (edit, result), version, findings, ts.
+
+    A result counts only if no edit of a later version came before it."""
+
+    def step(row: dict, held):
+        newest = held[0] if held else -1
+        if row["kind"] == "edit":
+            return None, (max(newest, row["version"]), row["_us"] // 1000)
+        return ((row["version"], row["findings"]) if row["version"] >= newest else None), held
+
+    return _stateful(events, "editor", step, "version long, findings string", "newest long, at long", "string", late, lambda held: held[1] + GATE_EXPIRY)
+
+
 def debounced(edits: DataFrame, gap: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
     """The last text of each burst of edits (editor, version, ts, text)."""
     return edits.withWatermark("ts", late).groupBy("editor", F.session_window("ts", gap)).agg(F.max("version").alias("version"), F.max_by("text", "version").alias("text")).select("editor", "version", "text")
 
 
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now, and gives the table of its results."""
-    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """Runs a stream over what is there now, and gives the table of its results.
+
+    Batches are committed to a table beside the checkpoint: each adds its rows, or with mode complete replaces them all."""
+    table = Versions(df.sparkSession, f"{checkpoint}-results")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if mode == "complete":
+            table.replace(batch)
+        else:
+            table.append(batch, (name, batch_id))
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = table.read()
+    return df.sparkSession.createDataFrame([], df.schema) if rows is None else rows
 
 
 def collected(df: DataFrame, mode: str = "append") -> DataFrame:
-    """run_available with a name and a checkpoint of its own, below the session's spark.checkpoint.dir."""
-    spark, name = df.sparkSession, f"stream_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
-    return run_available(df, name, f"{folder.rstrip('/')}/{name}", mode)
+    """run_available with a checkpoint of its own, below the session's spark.checkpoint.dir."""
+    return run_available(df, "collected", scratch(df.sparkSession, "stream"), mode)
+
+
+def logged(events: DataFrame) -> DataFrame:
+    """Events with the time at which they came in place of their own."""
+    return events.withColumn("ts", F.current_timestamp())
+
+
+def appended(target: str, stream: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: rows of a stream without repeats, as ledger_stream gives, go to the table at `target`.
+
+    A batch that is run again adds nothing, by its number; nothing of the table is read."""
+    return lambda batch, batch_id: Versions(batch.sparkSession, target).append(batch, (stream, batch_id)) and None
+
 
+def upsert(target: str, keys: list[str], stream: str = "upsert", buckets: int = 256) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: rows whose key isn't in the table at `target` are added. A batch that is run again adds nothing.
 
-def upsert(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: rows whose key isn't in the table at `target` are appended. A batch that is run again adds nothing."""
+    Rows lie in buckets by their key, and a batch reads the keys of its own buckets only."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates(keys)
-        spark = batch.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            new = new.join(spark.read.parquet(target).select(*keys), keys, "left_anti")
-        new.write.mode("append").parquet(target)
+        new = batch.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        table = Versions(batch.sparkSession, target)
+        held = table.read()
+        if held is not None:
+            own = [r[0] for r in new.select("bucket").distinct().collect()]  # `buckets` at most
+            new = new.join(held.where(F.col("bucket").isin(own)).select(*keys), keys, "left_anti")
+        table.append(new, (stream, batch_id), by=("bucket",))
 
     return write
 
 
-def _stateful(events: DataFrame, key: str, step: Callable, output: str, state: str, key_type: str, late: str | None = None, expiry: Callable = lambda held: None, expired: Callable = lambda held: None) -> DataFrame:
-    """Rows of a key in the order of ts, with a state between them: step(row, state) -> (output or None, state).
+def compacted(spark: SparkSession, target: str, most: int, by: str = "ts") -> None:
+    """The newest `most` rows of the table at `target`, in one part."""
+    Versions(spark, target).compact(lambda rows: rows.orderBy(F.desc(by)).limit(most))
 
-    late: how late rows may come. With it the state ends by itself once the stream's time has passed expiry(state), in
-    milliseconds, and expired(state) is put out; so no state stays for ever. Without it, it ends at the key's next row."""
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        names = [key, *(x.strip().split()[0] for x in output.split(","))]
-        if held.hasTimedOut:
-            made = expired(held.get)
-            held.remove()
-            yield pd.DataFrame([] if made is None else [(k[0], *made)], columns=names)
-            return
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        now: Any = held.get if held.exists else None
-        out = []
-        for row in rows.to_dict("records"):
-            made, now = step(row, now)
+
+class _Keyed(StatefulProcessor):
+    """Rows of a key in the order of time, with one state between them that a timer ends."""
+
+    def __init__(self, step: Callable, state: str, timed: bool, expiry: Callable, expired: Callable, names: list[str]):
+        self.step, self.state, self.timed, self.expiry, self.expired, self.names = step, state, timed, expiry, expired, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", self.state)
+
+    def _made(self, key: tuple, values: tuple) -> Row:
+        return Row(**dict(zip(self.names, (key[0], *values), strict=True)))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        now = tuple(self.held.get()) if self.held.exists() else None
+        for row in sorted(rows, key=lambda r: r["_us"]):  # a batch's rows of one key
+            made, now = self.step(row.asDict(), now)
             if made is not None:
-                out.append((k[0], *made))
+                yield self._made(key, made)
+        for old in self.handle.listTimers() if self.timed else ():
+            self.handle.deleteTimer(old)
         if now is None:
-            if held.exists:
-                held.remove()
-        else:
-            held.update(now)
-            if late is not None:
-                held.setTimeoutTimestamp(max(expiry(now), held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names)
+            self.held.clear()
+            return
+        self.held.update(now)
+        if self.timed:
+            self.handle.registerTimer(max(self.expiry(now), timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        made = self.expired(tuple(self.held.get())) if self.held.exists() else None
+        self.held.clear()
+        if made is not None:
+            yield self._made(key, made)
+
+    def close(self) -> None:
+        pass
+
 
-    timed = events if late is None else events.withWatermark("ts", late)
-    kind = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
-    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, {output}", state, "append", kind)
+def _stateful(events: DataFrame, key: str, step: Callable, output: str, state: str, key_type: str, late: str | None = None, expiry: Callable = lambda held: None, expired: Callable = lambda held: None) -> DataFrame:
+    """Rows of a key in the order of ts, with a state between them: step(row, state) -> (output or None, state).
+    A row's time is in _us, microseconds.
+
+    late: how late rows may come. With it the state ends by itself once the stream's time has passed expiry(state), in
+    milliseconds, and expired(state) is put out; so no state stays for ever. Without it, it ends at the key's next row.
+    State is in RocksDB, on disk, not in an executor's heap."""
+    spark = events.sparkSession
+    if spark.conf.get(_STORE, None) != _ROCKS:
+        spark.conf.set(_STORE, _ROCKS)
+    timed = events.withColumn("_us", F.unix_micros("ts"))
+    timed = timed if late is None else timed.withWatermark("ts", late)
+    names = [key, *(x.strip().split()[0] for x in output.split(","))]
+    processor = _Keyed(step, state, late is not None, expiry, expired, names)
+    return timed.groupBy(key).transformWithState(processor, f"{key} {key_type}, {output}", "append", "none" if late is None else "eventTime")
 
 
 def confirmed_sends(events: DataFrame, late: str | None = None) -> DataFrame:
@@ -115,7 +176,7 @@ def confirmed_sends(events: DataFrame, late: str | None = None) -> DataFrame:
     seconds end the waiting. Times are the events' own."""
 
     def step(row: dict, held):
-        t = int(row["ts"].value // 1_000_000)
+        t = row["_us"] // 1000
         text = " ".join((row["text"] or "").split())
         if row["kind"] == "draft":
             return None, (row["conversation"], text, int(row["bubbles"]), t + SEND_EXPIRY)
@@ -126,17 +187,18 @@ def confirmed_sends(events: DataFrame, late: str | None = None) -> DataFrame:
         if gone or (row["kind"] == "edit" and text and text != expected):
             return None, None
         if row["kind"] == "bubble" and expected in text and int(row["bubbles"]) > before:
-            return (row["conversation"], expected, row["ts"]), None
+            return (row["conversation"], expected, row["_us"]), None
         return None, held
 
-    return _stateful(events, "draft_id", step, "conversation string, prompt string, sent_at timestamp", "conversation string, expected string, bubbles long, expiry long", "string", late, lambda held: held[3] + 1)
+    sent = _stateful(events, "draft_id", step, "conversation string, prompt string, sent_at long", "conversation string, expected string, bubbles long, expiry long", "string", late, lambda held: held[3] + 1)
+    return sent.withColumn("sent_at", F.timestamp_micros("sent_at"))
 
 
 def rate_limits(requests: DataFrame, limit: int, seconds: int = 60, late: str | None = None) -> DataFrame:
     """key, request_id, denied of requests (key, request_id, ts): a window opens at the first request after the last one closed."""
 
     def step(row: dict, held):
-        t = int(row["ts"].value // 1_000_000)
+        t = row["_us"] // 1000
         start, n = held if held is not None and t < held[0] + seconds * 1000 else (t, 0)
         return (int(row["request_id"]), n + 1 > limit), (start, n + 1)
 
@@ -148,7 +210,7 @@ def cached_answers(requests: DataFrame, answer: Callable[[str], str | None], lat
     a minute; requests at the same time share one call, being rows of one key."""
 
     def step(row: dict, held):
-        t = int(row["ts"].value // 1_000_000)
+        t = row["_us"] // 1000
         if held is None or t >= held[1]:
             value = answer(row["key"])
             held = (value if value is not None else "", t + (FRESH if value is not None else FAILED), value is not None)
@@ -163,7 +225,7 @@ def pending_reviews(events: DataFrame, late: str | None = None) -> DataFrame:
     replaces the one before it in its tab, and ten minutes end it."""
 
     def step(row: dict, held):
-        t = int(row["ts"].value // 1_000_000)
+        t = row["_us"] // 1000
         if row["kind"] == "open":
             ended = None if held is None else (held[0], "replaced" if t <= held[1] else "expired")
             return ended, (int(row["review_id"]), t + GATE_EXPIRY)
