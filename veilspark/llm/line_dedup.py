@@ -183,7 +183,8 @@ def kept_lines(text: str | None, keep: bytes | None) -> list[str]:
 def with_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text and keep (null: all lines stay) of each row of docs."""
     rows = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias(ROW)), "line-rows")
-    found = rows.join(keep_bitmaps(rows, min_docs, min_chars, keep_first), ROW, "left")
+    # bitmaps grow with the documents: the join is the same at every size, also where few would fit a broadcast
+    found = rows.join(keep_bitmaps(rows, min_docs, min_chars, keep_first).hint("merge"), ROW, "left")
     return found.select(F.col("key").alias(key), F.col("text").alias("text"), "keep")
 
 
