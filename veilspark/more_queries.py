@@ -516,3 +516,11 @@ def st07_fresh_results(spark, sf_dir):
     """Results of the text that stands; those of an older one are dropped."""
     stream = _steps(spark, sf_dir, 4, editor="cast(d as string)", kind="case when j % 2 = 0 then 'edit' else 'result' end", version="case when j = 3 and d % 2 = 1 then 1L else j div 2 + 1 end", findings="'x'", ts="timestamp_seconds(j)")
     return live.collected(live.fresh_results(stream)).select("editor", "version")
+
+
+@query(ORACLES["w04_score_replay"])
+def w04_score_stream(spark, sf_dir):
+    """The same scores from a stream that keeps a small state of each user."""
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
+    changes = live.collected(live.score_changes(files.events_as_disclosures(events).where("ts <= timestamp'2024-01-31 12:00:00'")))
+    return ledger.scores_on(changes, "2024-01-31 12:00:00")

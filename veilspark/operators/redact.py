@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import last_after, mask_value, prefix_of
+from ..plans.order import numbered_within
 
 
 def placeholder(type_: Column, value: Column, n: Column) -> Column:
@@ -17,7 +18,8 @@ def allocate(findings: DataFrame, existing: DataFrame | None = None, conversatio
     """conversation, type, key, n, placeholder: one for each value of a conversation, counted by type in reading order.
 
     findings: exploded, with seq and start. existing: what was given out before; its numbers are continued. Rows that
-    the user always allows get none. One grouping and one window, both by conversation and type (or finer)."""
+    the user always allows get none. One grouping by conversation, type and key; places are counted by ranges of seq, so a
+    conversation of any size is numbered by many tasks."""
     wanted = findings.where("not allowlisted")
     first = wanted.groupBy(conversation, "type", "key").agg(F.min(F.struct("seq", "start", "value")).alias("first"))
     most = F.lit(0)
@@ -26,7 +28,8 @@ def allocate(findings: DataFrame, existing: DataFrame | None = None, conversatio
         top = existing.groupBy(conversation, "type").agg(F.max("n").alias("_most"))
         first = first.join(top, [conversation, "type"], "left")
         most = F.coalesce("_most", F.lit(0))
-    n = most + F.row_number().over(Window.partitionBy(conversation, "type").orderBy("first.seq", "first.start"))
+    first = numbered_within(first.withColumn("seq", F.col("first.seq")).withColumn("start", F.col("first.start")), [conversation, "type"], ["seq", "start"], "_place")
+    n = most + F.col("_place")
     new = first.select(conversation, "type", "key", n.cast("int").alias("n"), placeholder(F.col("type"), F.col("first.value"), n).alias("placeholder"))
     return new if existing is None else existing.select(new.columns).unionByName(new)
 

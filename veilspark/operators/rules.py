@@ -19,7 +19,7 @@ from math import log2
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -335,13 +335,58 @@ def term_patterns(terms: UserTerms) -> list[tuple[str, str]]:
     return out
 
 
+_TOKEN = re.compile(r"\w+")
+_SEPARATORS = re.compile(rf"[{WS}().-]+")
+
+
+def _folded(text: str) -> str:
+    """Alike for all that patterns hold for the same letter in any case."""
+    return text.replace("ı", "i").replace("İ", "i").casefold()
+
+
+class Terms:
+    """Which of many terms may be in a text: by their first word, or by all their digits, whatever their number.
+
+    Nothing touches a term, so its first word is a whole word of the text. Only terms found so are looked for by their
+    patterns, which are compiled when first needed."""
+
+    def __init__(self, terms: UserTerms):
+        self.patterns = term_patterns(terms)
+        self.by_word: dict[str, list[int]] = {}
+        self.by_digits: dict[str, list[int]] = {}
+        self.others: list[int] = []  # terms without any letter or digit
+        for i, (type_, pattern) in enumerate(self.patterns):
+            literal = pattern if type_ == "PHONE" else re.sub(r"\\(.)", r"\1", pattern, flags=re.DOTALL)
+            word = _TOKEN.search(_folded(literal))
+            if type_ == "PHONE":
+                self.by_digits.setdefault(_digits(literal), []).append(i)
+            elif word:
+                self.by_word.setdefault(word[0], []).append(i)
+            else:
+                self.others.append(i)
+        self.lengths = sorted({len(d) for d in self.by_digits})
+        self.compiled: dict[int, re.Pattern] = {}
+
+    def among(self, text: str) -> list[tuple[str, re.Pattern]]:
+        """(type, pattern) of the terms that may be in the text, in their order."""
+        some = set(self.others)
+        if self.by_word:
+            some.update(i for w in self.by_word.keys() & set(_TOKEN.findall(_folded(text))) for i in self.by_word[w])
+        if self.lengths:
+            for run in re.findall(r"[0-9]+", _SEPARATORS.sub("", text)):
+                some.update(i for n in self.lengths for at in range(len(run) - n + 1) for i in self.by_digits.get(run[at : at + n], ()))
+        for i in some - self.compiled.keys():
+            self.compiled[i] = re.compile(self.patterns[i][1], re.IGNORECASE)
+        return [(self.patterns[i][0], self.compiled[i]) for i in sorted(some)]
+
+
 def user_terms(terms: UserTerms) -> Rule:
     """Matches of the user's terms that no letter, digit or _ touches; a phone number with the sign before it."""
-    patterns = [(type_, re.compile(p, re.IGNORECASE)) for type_, p in term_patterns(terms)]
+    known = Terms(terms)
     touches = lambda c: c == "_" or (c != "" and unicodedata.category(c)[0] in "LN")
 
     def find(t: Text) -> Iterator[Found]:
-        for type_, pattern in patterns:
+        for type_, pattern in known.among(t.text):
             for m in pattern.finditer(t.text):
                 start, end = m.span()
                 if type_ == "PHONE" and start and t.text[start - 1] in "+(":
@@ -352,6 +397,29 @@ def user_terms(terms: UserTerms) -> Rule:
     return find
 
 
+_FIELDS = ("names", "emails", "phones", "addresses", "custom")
+
+
+@lru_cache(4096)
+def _rule_of(terms: tuple[tuple[str, str], ...]) -> Rule:
+    return user_terms(UserTerms(**{field: tuple(t for f, t in terms if f == field) for field in _FIELDS}))
+
+
+def terms_by_user(messages: DataFrame, terms: DataFrame, by: str = "user_id", text: str = "text") -> DataFrame:
+    """messages with found: candidates of each user's own terms. terms: `by`, field (names, emails, phones, addresses or
+    custom) and term. A user's terms travel as one array; users without any are left alone."""
+    own = terms.where(F.col("field").isin(*_FIELDS)).groupBy(by).agg(F.array_sort(F.collect_set(F.struct("field", "term"))).alias("_terms"))
+
+    @arrow_udf(f"array<{FINDING}>")
+    def scan(texts: pa.Array, of: pa.Array) -> pa.Array:
+        values = [x or "" for x in texts.to_pylist()]
+        rules = [_rule_of(tuple((t["field"], t["term"]) for t in ts if t["term"])) if ts else None for ts in of.to_pylist()]
+        return found_column([list(rule(Text(x))) if rule and x else [] for x, rule in zip(values, rules, strict=True)], values)
+
+    joined = messages.join(own, by, "left")
+    return joined.withColumn("found", scan.asNondeterministic()(F.col(text), F.col("_terms"))).drop("_terms")
+
+
 def sentence_ends(text: str) -> list[int]:
     """Where the sentences of a text end; the last end is the text's."""
     ends = [m.end() for m in _compiled(SENTENCE_END).finditer(text)]

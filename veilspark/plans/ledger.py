@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..functions.scalars import conversation_hash, cost_of, message_hash, normalize_prompt
 from ..schema import ACTIONS, ENTITY_TYPES, SITES, SOURCES
+from .order import numbered_within, same_key_join
 
 # Fixed values.
 MOST_COUNT, KEPT_EVENTS, MOST_RECORDS, SCORE_DAYS, DAILY_GAIN, FULL = 10_000, 5_000, 20_000, 30, 2, 100
@@ -51,9 +52,9 @@ def identified(messages: DataFrame) -> DataFrame:
     """id, conversation (both hashed), site, ts and how often the same text came before in its conversation."""
     text = normalize_prompt(F.col("text"))
     rows = messages.withColumn("_t", F.sha2(text, 256))
-    n = F.row_number().over(Window.partitionBy("site", "conversation_id", "_t").orderBy("ts", "seq")) - 1
-    rows = rows.withColumn("occurrence", n).withColumn("conversation", conversation_hash(F.col("site"), F.col("conversation_id")))
-    return rows.withColumn("id", message_hash(F.col("conversation"), F.col("text"), F.col("occurrence"))).drop("_t")
+    rows = numbered_within(rows, ["site", "conversation_id", "_t"], ["ts", "seq"], "_nth")
+    rows = rows.withColumn("occurrence", F.col("_nth") - 1).withColumn("conversation", conversation_hash(F.col("site"), F.col("conversation_id")))
+    return rows.withColumn("id", message_hash(F.col("conversation"), F.col("text"), F.col("occurrence"))).drop("_t", "_nth")
 
 
 def history_records(detected: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def live_stats(events: DataFrame, prompts: DataFrame, by: list[str] | None = Non
 
 
 def newest(events: DataFrame, n: int = KEPT_EVENTS, by: str = "user_id") -> DataFrame:
-    """The last n events of each user."""
+    """The last n events of each user. Spark keeps n rows of a user in each task before any are moved."""
     w = Window.partitionBy(by).orderBy(F.desc("ts"), F.desc("event_id"))
     return events.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
@@ -180,7 +181,19 @@ def rate_limited(requests: DataFrame, limit: int, seconds: int = 60, key: str =
     return placed.mapInArrow(windows, schema).withColumn("window_start", F.timestamp_millis("_start")).drop("_start")
 
 
-def same_key_join(rows: DataFrame, each: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the columns of each, which has one row for each of the keys' values; null keys meet null ones."""
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    return rows.alias("l").join(each.alias("r"), on, "left").select("l.*", *[f"r.{c}" for c in each.columns if c not in keys])
+def scores_on(changes: DataFrame, now: str, by: str = "user_id") -> DataFrame:
+    """by, date and score as score_replay gives, from the rows of a stream of scores (live.score_changes).
+
+    The last row of a day has the score at its end. From there on each day without a loss gives DAILY_GAIN, so any later
+    day's score follows from the last row before it; no event is looked at again."""
+    today = F.datediff(F.lit(now).cast("timestamp").cast("date"), F.lit("1970-01-01"))
+    days = changes.where(F.col("day") <= today).groupBy(by, "day").agg(F.max_by(F.struct("score", "leaked"), F.struct("at", "place")).alias("l"), F.min("first").alias("first"))
+    closed = F.when((F.col("day") > F.col("first")) & (F.col("day") < today) & (F.col("l.leaked") == 0), F.least(F.lit(FULL), F.col("l.score") + DAILY_GAIN)).otherwise(F.col("l.score"))
+    until = F.lead("day").over(Window.partitionBy(by).orderBy("day"))  # days with rows, of which a user has few
+    spans = days.select(by, "day", "first", closed.alias("score"), F.coalesce(until - 1, today).alias("until"))
+    spans = spans.where(F.col("until") >= today - (SCORE_DAYS - 1)).select(by, "score", "day", F.explode(F.sequence(F.greatest("day", today - (SCORE_DAYS - 1)), F.col("until"))).alias("on"))
+    later = F.least(F.lit(FULL), F.col("score") + DAILY_GAIN * (F.col("on") - F.col("day") - (F.col("on") == today).cast("int")))
+    known = spans.select(by, F.col("on"), F.when(F.col("on") == F.col("day"), F.col("score")).otherwise(later).cast("bigint").alias("score"))
+    early = days.groupBy(by).agg(F.min("day").alias("first")).where(F.col("first") > today - (SCORE_DAYS - 1))
+    early = early.select(by, F.explode(F.sequence(today - (SCORE_DAYS - 1), F.col("first") - 1)).alias("on"), F.lit(FULL).cast("bigint").alias("score"))
+    return known.unionByName(early).select(by, F.date_add(F.lit("1970-01-01").cast("date"), F.col("on").cast("int")).cast("string").alias("date"), "score")

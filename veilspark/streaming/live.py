@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalars import cost_of
-from ..plans.ledger import valid_events
+from ..plans.ledger import DAILY_GAIN, FULL, SCORE_DAYS, valid_events
 from ..sources.files import scratch
 from ..sources.versions import Versions
 
@@ -161,7 +161,7 @@ def _stateful(events: DataFrame, key: str, step: Callable, output: str, state: s
     spark = events.sparkSession
     if spark.conf.get(_STORE, None) != _ROCKS:
         spark.conf.set(_STORE, _ROCKS)
-    timed = events.withColumn("_us", F.unix_micros("ts"))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_us", F.unix_micros("ts"))
     timed = timed if late is None else timed.withWatermark("ts", late)
     names = [key, *(x.strip().split()[0] for x in output.split(","))]
     processor = _Keyed(step, state, late is not None, expiry, expired, names)
@@ -194,6 +194,25 @@ def confirmed_sends(events: DataFrame, late: str | None = None) -> DataFrame:
     return sent.withColumn("sent_at", F.timestamp_micros("sent_at"))
 
 
+def score_changes(events: DataFrame, by: str = "user_id", order: str = "event_id", late: str | None = None) -> DataFrame:
+    """by, day, score, leaked, first, at and place after each event (see ledger.scores_on), from one small state of each
+    user: score, first day, last day, whether something leaked on it."""
+    rows = valid_events(events).select(F.col(by).cast("string").alias("_by"), "ts", F.col(order).alias("place"), (F.col("action") == "as_is").cast("int").alias("leak"), F.coalesce(cost_of(F.col("type")), F.lit(0)).cast("bigint").alias("cost"))
+
+    def step(row: dict, held):
+        day = row["_us"] // 86_400_000_000
+        score, first, last, leaked = held or (FULL, day, day, 0)
+        if day > last:
+            idle = day - last - 1 + (1 if last > first and not leaked else 0)
+            score, leaked = min(FULL, score + DAILY_GAIN * idle), 0
+        if row["leak"]:
+            score, leaked = max(0, score - row["cost"]), 1
+        return (day, score, leaked, first, row["_us"], row["place"]), (score, first, day, leaked)
+
+    out = _stateful(rows, "_by", step, "day long, score long, leaked long, first long, at long, place long", "score long, first long, day long, leaked long", "string", late, lambda held: held[2] * 86_400_000 + FRESH * SCORE_DAYS)
+    return out.withColumn(by, F.col("_by").cast(events.schema[by].dataType)).drop("_by")
+
+
 def rate_limits(requests: DataFrame, limit: int, seconds: int = 60, late: str | None = None) -> DataFrame:
     """key, request_id, denied of requests (key, request_id, ts): a window opens at the first request after the last one closed."""
 
