@@ -142,3 +142,9 @@ def relative_time(then: Column, now: Column) -> Column:
 def rounded(c: Column) -> Column:
     """To the nearest whole number, halves up."""
     return F.floor(c + 0.5)
+
+
+def to_utf16_offset(text: Column, offset: Column) -> Column:
+    """An offset in code points as one in UTF-16 units: characters beyond the first plane count twice."""
+    beyond = F.regexp_replace(F.substring(text, F.lit(1), offset), "[^\U00010000-\U0010ffff]", "")
+    return (offset + F.char_length(beyond)).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +13,10 @@ from .functions import scalars as S
 from .operators import ner, redact, rules
 from .operators.resolve import detect, exploded, full_over_fast
 from .plans import checks, ledger, policy, report
-from .queries import _EVENTS, ORACLES, K, _disclosures, detector, made, query, table
+from .plans.search_index import SearchIndex
+from .queries import _EVENTS, _HITS, _WINDOWS, ORACLES, K, _disclosures, _hits, detector, made, query, table
 from .schema import ENTITY_TYPES, entity_table
-from .sources import exports, files
+from .sources import exports, files, split_exports
 from .streaming import live
 
 
@@ -68,6 +71,25 @@ def s04_list_export(spark, sf_dir):
     return _parsed(exports.list_messages(exports.rows_of(_list(_said(spark, sf_dir)))))
 
 
+def _one_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's objects as one JSON array over several lines."""
+    before = "["
+    for b in batches:
+        lines = [before if i == 0 and before == "[" else "," for i in range(b.num_rows)]
+        yield pa.RecordBatch.from_arrays([pa.array([x + y for x, y in zip(lines, b.column(0).to_pylist(), strict=True)], pa.string())], names=["value"])
+        before = "," if b.num_rows else before
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], names=["value"])
+
+
+@query(_TREE_SQL)
+def s01_split_exports(spark, sf_dir):
+    """Files that are one array of many conversations each, read in parts."""
+    objects = _tree(_said(spark, sf_dir)).select(F.expr("substring(content, 2, char_length(content) - 2)").alias("value"))
+    path = files.scratch(spark, "exports")
+    objects.mapInArrow(_one_array, "value string").write.text(path)
+    return _parsed(exports.messages_of(split_exports.read_rows(spark, path, "part-*.txt")))
+
+
 @query("""select case when turn % 2 = 0 then concat('gemini:https://gemini.google.com/app/g', conv_id) else concat('gemini:activity:', strftime(to_timestamp(1700000000 + turn) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ')) end as conversation,
     md5(text) as text_md5, cast(1700000000 + turn as bigint) as at from conversations where turn % 5 <> 4 and turn % 7 <> 6 and text <> ''""")
 def s05_activity_export(spark, sf_dir):
@@ -424,10 +446,22 @@ def t04_search(spark, sf_dir):
     return policy.search(asked, policy.index(items, ["item_id"]), ["item_id"]).select("question_id", "item_id", "rank", F.round("score", 3).alias("score"))
 
 
-@query("""select concat(t, i) as id, case i when 0 then 'training' when 1 then 'retention' when 2 then 'opt_out' else 'delete' end as question_id from (values ('claude'), ('gemini')) a(t), (select unnest(range(4)) as i) b""")
+@query(ORACLES["t04_search"])
+def r02_stored_index(spark, sf_dir):
+    """The same search from a stored index, after a second refresh that changes half of the pieces."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 3).cast("string").alias("tool_id"), F.col("text").alias("chunk_text"))
+    index = SearchIndex(spark, files.scratch(spark, "index"), ["item_id"])
+    index.refresh(items.withColumn("chunk_text", F.when(F.col("item_id") % 2 == 0, F.concat("chunk_text", F.lit(" an older text"))).otherwise(F.col("chunk_text"))))
+    index.refresh(items.where("item_id % 2 = 0"))
+    asked = items.where("item_id % 20 = 0").select(F.col("item_id").alias("question_id"), "tool_id", F.col("chunk_text").alias("question"))
+    return index.search(asked).select("question_id", "item_id", "rank", F.round("score", 3).alias("score"))
+
+
+@query("""with t as (select distinct regexp_extract(url, 'example[.]([a-z]+)', 1) as tool from pages)
+    select concat(tool, i) as id, case i when 0 then 'training' when 1 then 'retention' when 2 then 'opt_out' else 'delete' end as question_id from t, (select unnest(range(4)) as i) b""")
 def j08_tool_questions(spark, sf_dir):
-    """The four questions of each tool."""
-    asked = policy.tool_questions(spark.createDataFrame([("claude",), ("gemini",)], "tool_id string"))
+    """The four questions of each tool that has pages."""
+    asked = policy.tool_questions(table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"example\.([a-z]+)", 1).alias("tool_id")).distinct())
     at = F.array_position(F.array(*[F.lit(q) for q, _ in policy.QUESTIONS]), F.col("question_id")) - 1
     return asked.select(F.concat("tool_id", at.cast("string")).alias("id"), "question_id")
 
@@ -449,11 +483,15 @@ def r11_guarded_questions(spark, sf_dir):
     return policy.guarded(q.select(F.col("seq").alias("id"), F.col("text").alias("question"))).select(F.col("id").alias("seq"), "blocked", "safe_question")
 
 
-@query("select distinct tool_id from (values ('claude')) t(tool_id)")
+@query("""with a as (select o_custkey as tool, o_orderkey % 4 as q, o_orderkey % 7 = 0 as unknown, o_orderkey % 31 = 0 as plain from orders)
+    select cast(tool as varchar) as tool_id from a group by 1 having count(distinct q) = 4 and bool_and(not (plain and not unknown)) and bool_or(not unknown)""")
 def r10_publishable(spark, sf_dir):
-    """Tools whose four answers may replace those published."""
-    rows = [(t, i, "yes" if t != "none" else policy.UNKNOWN, [(f"{'http' if t == 'plain' and i == 'delete' else 'https'}://x.example/", "X")] if t != "none" else []) for t in ("claude", "plain", "none") for i, _ in policy.QUESTIONS]
-    a = spark.createDataFrame(rows, "tool_id string, question_id string, answer string, citations array<struct<url:string,title:string>>")
+    """Tools whose four answers may replace those published: orders as answers about their customer."""
+    k = F.col("o_orderkey")
+    unknown, scheme = k % 7 == 0, F.when(k % 31 == 0, "http").otherwise("https")
+    cited = F.array(F.struct(F.concat(scheme, F.lit("://x.example/")).alias("url"), F.lit("X").alias("title")))
+    question = F.element_at(F.array(*[F.lit(q) for q, _ in policy.QUESTIONS]), (k % 4 + 1).cast("int"))
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("tool_id"), question.alias("question_id"), F.when(unknown, policy.UNKNOWN).otherwise("yes").alias("answer"), F.when(unknown, F.filter(cited, lambda c: F.lit(False))).otherwise(cited).alias("citations"))
     return policy.publishable(a).select("tool_id").distinct()
 
 
@@ -524,3 +562,27 @@ def w04_score_stream(spark, sf_dir):
     events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
     changes = live.collected(live.score_changes(files.events_as_disclosures(events).where("ts <= timestamp'2024-01-31 12:00:00'")))
     return ledger.scores_on(changes, "2024-01-31 12:00:00")
+
+
+@query(f"""{_HITS}, x as (select conversation_id, category, masked, min(seq) as s from h group by 1, 2, 3)
+    select conversation_id, string_agg(concat(category, ' ', masked), ',' order by s) as examples from (select *, row_number() over (partition by conversation_id order by s) as i from x) t where i <= 6 group by 1""")
+def a11_examples(spark, sf_dir):
+    """Up to six different masked examples of each conversation."""
+    risk = report.conversation_risk(_hits(spark, sf_dir))
+    return risk.select("conversation_id", F.array_join(F.transform("examples", lambda e: F.concat(e["type"], F.lit(" "), e["masked"])), ",").alias("examples"))
+
+
+@query(_WINDOWS.replace("source", "documents").replace("documents as text", "source as text") + " select source as tool_id, cast(count(*) as bigint) as chunks from pieces join documents using (doc_id) where piece <> '' group by 1")
+def a18_chunks_by_source(spark, sf_dir):
+    """Pieces of documents by their source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("tool_id"), "text")
+    return policy.chunks(docs).groupBy("tool_id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query(r"""select doc_id, cast(length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) as integer) as units, cast(length(text) // 2 + length(regexp_replace(substr(text, 1, length(text) // 2), '[^\x{10000}-\x{10FFFF}]', '', 'g')) as integer) as half
+    from (select doc_id, concat(text, case when doc_id % 3 = 0 then '😀 and 𝒳' else '' end, text) as text from documents where text is not null) t""")
+def x15_utf16_offsets(spark, sf_dir):
+    """Offsets in code points as offsets in UTF-16 units."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, "😀 and 𝒳").otherwise(""), "text").alias("text"))
+    n = F.char_length("text")
+    return docs.select("doc_id", S.to_utf16_offset(F.col("text"), n).alias("units"), S.to_utf16_offset(F.col("text"), F.floor(n / 2).cast("int")).alias("half"))

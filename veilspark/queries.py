@@ -442,9 +442,10 @@ def a18_chunks_by_tool(spark, sf_dir):
 
 @query()
 def r03_search(spark, sf_dir):
-    """The four best pieces for three questions about each tool."""
+    """The four best pieces of its tool for the text of every twentieth page."""
     pieces = _pieces(spark, sf_dir)
-    asked = spark.createDataFrame([(q, t, text) for t in ("com", "net", "org") for q, text in (("a", "the thing and of"), ("b", "ingre tion here"), ("c", "with from this"))], "question_id string, tool_id string, question string")
+    pages = policy.clean_pages(table(spark, sf_dir, "pages").where("page_id % 20 = 0"))
+    asked = pages.select(F.col("page_id").alias("question_id"), F.regexp_extract("url", r"example\.([a-z]+)", 1).alias("tool_id"), F.col("text").alias("question"))
     return policy.search(asked, policy.index(pieces, ["page_id", "chunk"]), ["page_id", "chunk"]).select("question_id", "tool_id", "page_id", "chunk", "rank", "score")
 
 
@@ -471,10 +472,10 @@ def r06_parse_answer(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.alias("seq"), a["answer"].alias("answer"), F.size(a["citations"]).alias("citations"))
 
 
-@query("select cast(id as bigint) as event_id, cast(id % 14 as integer) as n, strftime(timestamp '2024-01-31' - interval 8 hour * (59 - id), '%Y-%m-%d %H') as at, ['chatgpt', 'claude', 'gemini'][id % 3 + 1] as site, ['paste', 'file', 'typed'][id // 3 % 3 + 1] as source, ['renamed', 'renamed', 'as_is', 'allowlisted'][id % 4 + 1] as action from (select unnest(range(60)) as id)")
+@query("select cast(id as bigint) as event_id, cast(id % 14 as integer) as n, strftime(timestamp '2024-01-31' - interval 8 hour * ((select count(*) from customer) - 1 - id), '%Y-%m-%d %H') as at, ['chatgpt', 'claude', 'gemini'][id % 3 + 1] as site, ['paste', 'file', 'typed'][id // 3 % 3 + 1] as source, ['renamed', 'renamed', 'as_is', 'allowlisted'][id % 4 + 1] as action from (select unnest(range((select count(*) from customer))) as id)")
 def s15_sample_events(spark, sf_dir):
     types = F.array(*map(F.lit, [t for t, *_ in ENTITIES]))
-    return files.sample_events(spark).select("event_id", (F.array_position(types, F.col("type")) - 1).cast("int").alias("n"), F.date_format("ts", "yyyy-MM-dd HH").alias("at"), "site", "source", "action")
+    return files.sample_events(spark, n=table(spark, sf_dir, "customer").count()).select("event_id", (F.array_position(types, F.col("type")) - 1).cast("int").alias("n"), F.date_format("ts", "yyyy-MM-dd HH").alias("at"), "site", "source", "action")
 
 
 @query(r"""select doc_id, cast(length(regexp_extract_all(text, '[0-9]+')[1]) as integer) as chars, cast(strpos(text, regexp_extract_all(text, '[0-9]+')[1]) - 1 as integer) as start from documents where regexp_matches(text, '[0-9]')""")
