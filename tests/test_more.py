@@ -243,3 +243,49 @@ def test_stale_results_are_dropped(spark, tmp_path):
     spark.createDataFrame([(*r, t + dt.timedelta(seconds=i)) for i, r in enumerate(rows)], schema).write.parquet(str(tmp_path / "in"))
     out = live.run_available(live.fresh_results(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), "fresh", str(tmp_path / "cp"))
     assert {(r["editor"], r["findings"]) for r in out.collect()} == {("e", "a"), ("e", "b"), ("f", "c")}
+
+
+class Fake:
+    """A service with a clock of its own: prompts are done after some seconds, fail some times, or never end."""
+
+    def __init__(self, seconds, fails=(), never=()):
+        self.now, self.seconds, self.fails, self.never = 0.0, seconds, list(fails), never
+        self.calls, self.most, self.open = [], 0, set()
+
+    def clock(self):
+        return self.now
+
+    def sleep(self, seconds):
+        self.now += seconds
+
+    def submit(self, prompt):
+        self.calls.append(prompt)
+        ticket = (prompt, len(self.calls), self.now + self.seconds)
+        self.open.add(ticket)
+        self.most = max(self.most, len({t for t in self.open if t[0] not in self.never}))
+        return ticket
+
+    def poll(self, ticket):
+        if ticket[0] in self.never or self.now < ticket[2]:
+            return None
+        self.open.discard(ticket)
+        if ticket[0] in self.fails:
+            self.fails.remove(ticket[0])
+            raise OSError("busy")
+        return ticket[0].upper()
+
+
+def test_completions_are_bounded_and_tried_again():
+    run = lambda fake, prompts, **more: policy.completions(prompts, fake, clock=fake.clock, sleep=fake.sleep, **more)
+    fake = Fake(1.0)
+    assert run(fake, [f"p{i % 10}" for i in range(30)], at_once=3) == {f"p{i}": f"P{i}" for i in range(10)}
+    assert sorted(fake.calls) == sorted({f"p{i}" for i in range(10)}) and fake.most == 3 and fake.now < 6
+    fake = Fake(1.0, fails=["b"])
+    assert run(fake, ["a", "b"]) == {"a": "A", "b": "B"} and fake.calls.count("b") == 2
+    with pytest.raises(OSError, match="busy"):
+        run(Fake(1.0, fails=["b", "b"]), ["a", "b"])
+    fake = Fake(1.0, never=("c",))
+    with pytest.raises(TimeoutError):
+        run(fake, ["c", "d"])
+    assert fake.calls.count("c") == 2 and 40 <= fake.now < 42
+    assert run(Fake(0.0), []) == {}

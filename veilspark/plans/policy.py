@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+import time
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
+from typing import Any, NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.dialect import stripped
 from ..operators.redact import allocate, redact
@@ -22,6 +24,7 @@ from ..schema import LABEL, Options
 DROPPED = ("script", "style", "nav", "header", "footer", "form", "aside")
 LEAST_CHARS, HUMAN_CHECK = 300, "verify you are human"
 SIZE, OVERLAP, TOP = 1200, 200, 4
+TIME_LIMIT = 20.0  # seconds, of a completion
 UNKNOWN = "The policy pages we checked don't clearly say."
 QUESTIONS = (
     ("training", "Are my conversations used for model training by default?"),
@@ -232,28 +235,95 @@ def extractive(prompts: list[str]) -> list[str]:
     return out
 
 
-def answered(asked: DataFrame, complete: Callable[[list[str]], list[str]] = extractive, kind: str = "fixed", tries: int = 2) -> DataFrame:
-    """asked (question_id, tool_id, question, excerpts) with answer and citations; each different prompt is completed once
-    a batch. A call that fails is made again, up to `tries` times in all."""
+class Completer:
+    """A service that completes prompts: what is asked of a client. A client may be anything with these two."""
 
-    def attempt(prompts: list[str]) -> list[str]:
-        for left in range(tries - 1, -1, -1):
+    def submit(self, prompt: str) -> Any:
+        """Begins, and gives a ticket."""
+        raise NotImplementedError
+
+    def poll(self, ticket: Any) -> str | None:
+        """The text, or None while there is none yet. Errors are raised here or by submit."""
+        raise NotImplementedError
+
+
+class _Call(NamedTuple):
+    prompt: str
+    tries: int  # that are left beside this one
+    ticket: Any
+    due: float  # when it is given up, or when it is begun again if there is no ticket
+
+
+def completions(prompts: Iterable[str], client: Completer, at_once: int = 8, limit: float = TIME_LIMIT, tries: int = 2, wait: float = 0.2, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> dict[str, str]:
+    """The text for each different prompt. At most at_once calls are under way; each is asked after every `wait` seconds.
+
+    A call that fails, or isn't done within `limit` seconds, is made again after a wait that doubles each time; after
+    `tries` calls in all its error ends the whole."""
+    waiting = deque(_Call(p, tries - 1, None, 0.0) for p in dict.fromkeys(prompts))
+    under_way: list[_Call] = []
+    done: dict[str, str] = {}
+
+    def failed(call: _Call, error: Exception) -> None:
+        if not call.tries:
+            raise error
+        waiting.append(_Call(call.prompt, call.tries - 1, None, clock() + wait * 2 ** (tries - 1 - call.tries)))
+
+    while waiting or under_way:
+        for _ in range(len(waiting)):
+            call = waiting.popleft()
+            if len(under_way) >= at_once or call.due > clock():
+                waiting.append(call)
+                continue
+            try:
+                under_way.append(call._replace(ticket=client.submit(call.prompt), due=clock() + limit))
+            except Exception as error:  # the client's own kinds of errors
+                failed(call, error)
+        left = []
+        for call in under_way:
             try:
-                return complete(prompts)
-            except Exception:
-                if not left:
-                    raise
-        return []
-
-    @pandas_udf("string")
-    def run(prompts: pd.Series) -> pd.Series:
-        different = list(dict.fromkeys(prompts))
-        done = dict(zip(different, attempt(different), strict=True))
-        return prompts.map(done)
-
-    none = F.size("excerpts") == 0
-    raw = F.when(none, "").otherwise(run(prompt(F.col("question"), F.col("excerpts"), kind)))
-    return asked.withColumn("_raw", raw).withColumn("_a", parse_answer(F.col("_raw"), F.col("excerpts"))).select(*asked.columns, "_a.answer", "_a.citations")
+                text = client.poll(call.ticket)
+            except Exception as error:
+                failed(call, error)
+                continue
+            if text is not None:
+                done[call.prompt] = text
+            elif clock() >= call.due:
+                failed(call, TimeoutError(f"no completion within {limit} seconds"))
+            else:
+                left.append(call)
+        under_way = left
+        if waiting or under_way:
+            sleep(wait)
+    return done
+
+
+def _at_once(complete: Callable[[list[str]], list[str]], prompts: list[str], tries: int) -> dict[str, str]:
+    """A function from prompts to texts, called for all of a batch; a call that fails is made again."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            return dict(zip(prompts, complete(prompts), strict=True))
+        except Exception:
+            if not left:
+                raise
+    return {}
+
+
+def answered(asked: DataFrame, complete: Callable[[list[str]], list[str]] | Completer = extractive, kind: str = "fixed", tries: int = 2, at_once: int = 8, limit: float = TIME_LIMIT) -> DataFrame:
+    """asked (question_id, tool_id, question, excerpts) with answer and citations; each different prompt is completed once.
+
+    complete: a function from the prompts of a batch to their texts, or a client (Completer), which each task calls for at
+    most at_once prompts at a time, each for at most `limit` seconds. Either is tried `tries` times in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prompts = b.column(0).to_pylist()
+            texts = completions(prompts, complete, at_once, limit, tries) if hasattr(complete, "submit") else _at_once(complete, prompts, tries)
+            yield pa.RecordBatch.from_arrays([pa.array(prompts, pa.string()), pa.array([texts[p] for p in prompts], pa.string())], names=["_prompt", "_raw"])
+
+    rows = asked.withColumn("_prompt", F.when(F.size("excerpts") > 0, prompt(F.col("question"), F.col("excerpts"), kind)))
+    raw = rows.select("_prompt").where("_prompt is not null").distinct().mapInArrow(run, "_prompt string, _raw string")
+    found = rows.join(raw, "_prompt", "left").withColumn("_a", parse_answer(F.coalesce("_raw", F.lit("")), F.col("excerpts")))
+    return found.select(*asked.columns, "_a.answer", "_a.citations")
 
 
 def fallback_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
