@@ -2,8 +2,9 @@
 
 Texts become words, joined by one space. A notice of n letters may hold n // 14 errors k, so of k + 1 pieces of it one
 stands unharmed in any match (pigeonhole): pieces are searched for all at once, each hit gives a window, and the regex
-library's bounded-error matching verifies the notice there. Of matches that overlap the one with the fewest errors
-stays. Base phrases are searched for word by word, without errors.
+library's bounded-error matching verifies the notice there. Numbers, and the words that only a notice's own label has
+beside notices much like it, must stand in a match as they are: errors are for the rest. Of matches that overlap the one
+with the fewest errors stays; where one of another label has as few over the same words, none does. Base phrases are searched for word by word, without errors.
 
 Null text: no words, no places. Whole texts are searched, of any length; equal rows give equal results."""
 
@@ -49,12 +50,27 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_WORDS).split()
 
 
+def telling(notices: dict[str, str]) -> dict[str, frozenset[str]]:
+    """For each notice the words that tell its label from others: its numbers, and of its words that a notice of another
+    label with half of its words or more lacks, those that no other label has."""
+    split = {n: frozenset(n.split()) for n in notices}
+    out = {}
+    for n, words in split.items():
+        others = [w for m, w in split.items() if notices[m] != notices[n]]
+        like = [w for w in others if 2 * len(w & words) >= min(len(w), len(words))]
+        own = words - frozenset().union(*others)
+        out[n] = frozenset(w for w in words if w.isdigit() or (w in own and any(w not in o for o in like)))
+    return out
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str], notices: dict[str, str]):
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
         self.notices = []
         self.seeds = ahocorasick.Automaton()
         seeds: dict[str, list[tuple[int, int]]] = {}
+        self.telling = list(telling(notices).values())
+        self.whole = list(notices)
         for i, (notice, label) in enumerate(notices.items()):
             k = len(notice) // LETTERS_PER_ERROR
             self.notices.append((len(notice), k, label, regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={k}}}")))
@@ -65,6 +81,12 @@ class Scanner:
             self.seeds.add_word(seed, (len(seed), places))
         self.seeds.make_automaton()
 
+    @staticmethod
+    def _end(joined: str, at: int) -> int:
+        """Where the word ends that at is in or behind."""
+        blank = joined.find(" ", max(0, at - 1))
+        return len(joined) if blank < 0 else blank
+
     def base(self, joined: bytes) -> list[tuple[str, int]]:
         """(label, number of its first word) of each place of each phrase."""
         padded, found = b" " + joined + b" ", []
@@ -87,18 +109,29 @@ class Scanner:
                     continue
                 tried.add((i, start))
                 size, k, _, pattern = self.notices[i]
-                low = max(0, start - k)
-                if m := pattern.search(joined, low, min(len(joined), start + size + k)):
-                    found.append((sum(m.fuzzy_counts), -size, m.start(), m.end(), i))
+                low, high = max(0, start - k), min(len(joined), start + size + k)
+                if start >= 0 and joined.startswith(self.whole[i], start):
+                    a, b, errors = start, start + size, 0
+                elif all(joined.find(w, low, high + 1) >= 0 for w in self.telling[i]) and (m := pattern.search(joined, low, high)):
+                    a, b, errors = m.start(), m.end(), sum(m.fuzzy_counts)
+                else:
+                    continue
+                if self.telling[i] <= set(joined[joined.rfind(" ", 0, a + 1) + 1 : self._end(joined, b)].split()):
+                    found.append((errors, -size, a, b, i))
         starts: list[int] = []
         kept: list[tuple[int, int, int, int, int]] = []  # by start, without overlaps
+        tied: set[int] = set()  # starts of what another label matches as well
         for x in sorted(set(found)):
             at = bisect_left(starts, x[2])
-            if (at == 0 or kept[at - 1][3] <= x[2]) and (at == len(starts) or x[3] <= starts[at]):
+            clash = [k for k in kept[max(0, at - 1) : at + 1] if k[2] < x[3] and x[2] < k[3]]
+            if not clash:
                 starts.insert(at, x[2])
                 kept.insert(at, x)
+            tied |= {k[2] for k in clash if k[0] == x[0] > 0 and self.notices[k[4]][2] != self.notices[x[4]][2]}
         out, seen, first = [], 0, 0
         for errors, size, start, end, i in kept:
+            if start in tied:
+                continue
             to = start + (joined[start] == " ")
             first += joined.count(" ", seen, to)
             seen = to
