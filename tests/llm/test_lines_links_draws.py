@@ -183,7 +183,7 @@ def test_links_equal_brute_force(rows_of, odd, monkeypatch, broadcast):
 
 
 def test_ids_are_those_of_the_libraries(rows_of, odd):
-    texts = link_texts(odd)
+    texts = [*link_texts(odd), "a" + " " * 200_000 + "b", "\n" * 200_000, "x" * 200_000, "漢字" * 50_000]
     a, b = spelled()
     got = {r["doc_id"]: r for r in alignment.tokenised(rows_of(texts), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).collect()}
     for i, t in enumerate(texts):
