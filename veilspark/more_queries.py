@@ -17,6 +17,7 @@ from .plans.search_index import SearchIndex
 from .queries import _EVENTS, _HITS, _WINDOWS, ORACLES, K, _disclosures, _hits, detector, made, query, table
 from .schema import ENTITY_TYPES, entity_table
 from .sources import exports, files, split_exports
+from .sources.versions import Versions
 from .streaming import live
 
 
@@ -450,7 +451,7 @@ def t04_search(spark, sf_dir):
 def r02_stored_index(spark, sf_dir):
     """The same search from a stored index, after a second refresh that changes half of the pieces."""
     items = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 3).cast("string").alias("tool_id"), F.col("text").alias("chunk_text"))
-    index = SearchIndex(spark, files.scratch(spark, "index"), ["item_id"])
+    index = SearchIndex(spark, files.scratch(spark, "index"), ["item_id"], buckets=4)
     index.refresh(items.withColumn("chunk_text", F.when(F.col("item_id") % 2 == 0, F.concat("chunk_text", F.lit(" an older text"))).otherwise(F.col("chunk_text"))))
     index.refresh(items.where("item_id % 2 = 0"))
     asked = items.where("item_id % 20 = 0").select(F.col("item_id").alias("question_id"), "tool_id", F.col("chunk_text").alias("question"))
@@ -586,3 +587,25 @@ def x15_utf16_offsets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, "😀 and 𝒳").otherwise(""), "text").alias("text"))
     n = F.char_length("text")
     return docs.select("doc_id", S.to_utf16_offset(F.col("text"), n).alias("units"), S.to_utf16_offset(F.col("text"), F.floor(n / 2).cast("int")).alias("half"))
+
+
+@query("select cast(c_custkey as bigint) as user_id, concat('blue door ', c_custkey % 5) as value, 7 as start from customer where c_custkey % 5 = c_custkey % 7")
+def j07_terms_by_user(spark, sf_dir):
+    """Each user's own terms in the user's messages."""
+    said = made(spark, sf_dir, "concat('we saw blue door ', cast(k % 5 as string), ' again')").withColumnRenamed("seq", "user_id")
+    terms = said.select("user_id", F.lit("custom").alias("field"), F.concat(F.lit("Blue Door "), (F.col("user_id") % 7).cast("string")).alias("term"))
+    found = rules.terms_by_user(said, terms).select("user_id", F.explode("found").alias("f"))
+    return found.select("user_id", "f.value", "f.start")
+
+
+@query("select cast(count(*) as bigint) as n, cast(least(count(*), 5000) as bigint) as kept, cast(max(event_id) as bigint) as newest from events")
+def st01_capped_log(spark, sf_dir):
+    """Events of a stream in a table: batches that come again add nothing, and compaction keeps the newest 5,000."""
+    path = files.scratch(spark, "log")
+    batch = table(spark, sf_dir, "events").select("event_id", F.timestamp_micros("event_id").alias("ts"))
+    for i in (0, 1, 0, 1):  # the second time each batch is one that was run again
+        live.appended(path, "log")(batch.where(F.col("event_id") % 2 == i), i)
+    log = Versions(spark, path)
+    n = log.read().agg(F.count(F.lit(1)).alias("n"))
+    live.compacted(spark, path, 5000)
+    return n.crossJoin(log.read().agg(F.count(F.lit(1)).alias("kept"), F.max("event_id").alias("newest")))  # one row each

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..sources.versions import Versions
 from .policy import B, K1, TOP, terms
 
-#: Postings in a block, and folders that postings are dealt over by tool and term.
-BLOCK, BUCKETS = 128, 64
+#: Postings in a block.
+BLOCK = 128
 #: Scores are compared as rounded to six places.
 _ROUNDED = 2e-6
 
@@ -31,10 +31,11 @@ def _saturated(tf: Column, n: Column, mean: Column) -> Column:
 
 
 class SearchIndex:
-    """key: the columns that name a piece."""
+    """key: the columns that name a piece. buckets: folders that postings are dealt over by tool and term, the same for all
+    refreshes; a search reads those of its terms."""
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str]):
-        self.spark, self.key, self.table = spark, key, Versions(spark, path)
+    def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = 64):
+        self.spark, self.key, self.buckets, self.table = spark, key, buckets, Versions(spark, path)
 
     def _part(self, name: str, columns: list[str] | None = None) -> DataFrame:
         """A part of all segments, with the segment's number."""
@@ -71,7 +72,7 @@ class SearchIndex:
         best = Window.partitionBy("tool_id", "term").orderBy(F.desc(_saturated(F.col("tf"), F.col("n"), F.lit(mean))), *self.key)
         placed = postings.withColumn("block", F.floor((F.row_number().over(best) - 1) / BLOCK))
         blocks = placed.groupBy("tool_id", "term", "block").agg(F.max("tf").alias("most"), F.min("n").alias("least"), F.collect_list(F.struct(*self.key, "n", "tf")).alias("postings"))
-        blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("tool_id", "term"), F.lit(BUCKETS)).cast("int")).withColumn("tier", F.least("block", F.lit(1)).cast("int"))
+        blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("tool_id", "term"), F.lit(self.buckets)).cast("int")).withColumn("tier", F.least("block", F.lit(1)).cast("int"))
         blocks.repartition("bucket").sortWithinPartitions("tier", "bucket", "tool_id", "term").write.partitionBy("tier", "bucket").parquet(f"{folder}/blocks")
 
         def totals(pieces: DataFrame, sign: int) -> DataFrame:
@@ -119,7 +120,7 @@ class SearchIndex:
     def search(self, questions: DataFrame, n: int = TOP) -> DataFrame:
         """The n best pieces for each question (question_id, tool_id, question); ties by key. As policy.search gives."""
         asked, chosen = self.needed(questions, n)
-        folders = chosen.select("tier", "bucket").distinct().collect()  # 2 * BUCKETS at most: only these folders are read
+        folders = chosen.select("tier", "bucket").distinct().collect()  # 2 * buckets at most: only these folders are read
         read = [F.col("tier") == t for t in {r[0] for r in folders}]
         stored = self._part("blocks").where(F.col("bucket").isin([r[1] for r in folders]) & (read[0] if len(read) == 1 else F.lit(bool(read))))
         pieces = self._pieces().where("n is not null").drop("tool_id")
