@@ -171,28 +171,35 @@ def _repeated(ids: Column, after: Column) -> Column:
     return F.concat(F.flatten(parts), F.slice(ids, start(n) + 1, F.size(ids) - start(n)))
 
 
-def _text(a: Column, b: Column, which: Column, upto_a: Column, upto_b: Column) -> Column:
-    """`a1,a2|b1;a3|b2` of all groups. which: the groups of more than two tokens, upto_*: how many own ends up to each.
-
-    Groups of one token each, which stand between those, are passed on a run at a time."""
+def _marks(a: Column, b: Column, which: Column, upto_a: Column, upto_b: Column) -> Column:
+    """For each link null if it is a group by itself, else the text `a1,a2|b1` of its group for the group's first link and
+    `-` for its others. which: the groups of more than two tokens, upto_*: how many own ends up to each."""
 
     def ends(q: Column, upto: Column) -> Column:  # behind the q-th group of several tokens, counted from 1
         return F.when(q == 0, 0).otherwise(F.element_at(which, q) + F.element_at(upto, q) + 1)
 
-    def run(q: Column) -> Column:
-        start_a, start_b = ends(q, upto_a), ends(q, upto_b)
-        n = F.when(q == F.size(which), F.size(a) - start_a).otherwise(F.element_at(which, q + 1) - F.when(q == 0, 0).otherwise(F.element_at(which, q) + 1))
-        both = F.arrays_zip(F.slice(a, start_a + 1, n), F.slice(b, start_b + 1, n)).cast("string")  # [{a1, b1}, {a2, b2}]
-        return F.when(n > 0, F.replace(F.replace(F.btrim(both, F.lit("[{}]")), F.lit("}, {"), F.lit(";")), F.lit(", "), F.lit("|")))
+    def start(q: Column, upto: Column) -> Column:  # of the next one's tokens
+        return F.element_at(which, q + 1) + F.when(q == 0, 0).otherwise(F.element_at(upto, q))
+
+    def group(start_a: Column, end_a: Column, start_b: Column, end_b: Column, alone: Column) -> Column:
+        side = lambda ids, x, y: F.array_join(F.slice(ids, x + 1, y - x), ",")
+        text = F.concat_ws("|", side(a, start_a, end_a), side(b, start_b, end_b))
+        return F.concat(F.array_repeat(F.lit(None).cast("string"), alone), F.array(text), F.array_repeat(F.lit("-"), end_a - start_a + end_b - start_b - 2))
+
+    def part(q: Column) -> Column:
+        return _let(group, start_a=start(q, upto_a), end_a=ends(q + 1, upto_a), start_b=start(q, upto_b), end_b=ends(q + 1, upto_b), alone=start(q, upto_a) - ends(q, upto_a))
 
-    def group(q: Column) -> Column:
-        def side(ids: Column, upto: Column) -> Column:
-            start = F.element_at(which, q + 1) + F.when(q == 0, 0).otherwise(F.element_at(upto, q))
-            return F.array_join(F.slice(ids, start + 1, ends(q + 1, upto) - start), ",")
+    n = F.size(which)
+    return F.concat(F.flatten(F.transform(_indexes(n), part)), F.array_repeat(F.lit(None).cast("string"), F.size(a) - ends(n, upto_a)))
 
-        return F.when(q < F.size(which), F.concat_ws("|", side(a, upto_a), side(b, upto_b)))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(which)), lambda q: F.nullif(F.concat_ws(";", run(q), group(q)), F.lit(""))), ";")
+def _text(marks: Column, links_a: Column, links_b: Column) -> Column:
+    """`a1,a2|b1;a3|b2,b3` of all groups, from [{mark, a, b}, ...] of all links: as text, whole arrays are gone through at once."""
+    listed = F.arrays_zip(marks.alias("m"), links_a.alias("a"), links_b.alias("b")).cast("string")
+    listed = F.regexp_replace(listed, r"\{null, (\d+), (\d+)\}", "$1|$2")
+    listed = F.regexp_replace(listed, r", \{-, \d+, \d+\}", "")
+    listed = F.regexp_replace(listed, r"\{([^ ]+), \d+, \d+\}", "$1")
+    return F.btrim(F.replace(listed, F.lit(", "), F.lit(";")), F.lit("[]"))
 
 
 def aligned(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,7 +220,8 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id",
     t = t.select("*", _until(F.col("group_a"), F.col("which")).alias("upto_a"), _until(F.col("group_b"), F.col("which")).alias("upto_b"), _repeated(F.col("a"), F.col("before_b")).alias("links_a"), _repeated(F.col("b"), F.col("before_a")).alias("links_b"))
     pairs = F.zip_with("links_a", "links_b", lambda x, y: F.shiftleft(x.cast("bigint"), 32) + y)
     sizes = [F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("common").alias("n_groups"), (F.size("common") - F.size("which")).alias("n_single")]
-    return t.select(key, *sizes, F.when(F.size("a") > 0, _text(*[F.col(c) for c in ("a", "b", "which", "upto_a", "upto_b")])).otherwise("").alias("groups"), pairs.alias("links"))
+    t = t.select("*", _marks(*[F.col(c) for c in ("a", "b", "which", "upto_a", "upto_b")]).alias("marks"))
+    return t.select(key, *sizes, _text(F.col("marks"), F.col("links_a"), F.col("links_b")).alias("groups"), pairs.alias("links"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
