@@ -251,11 +251,11 @@ def n04_trimmed_entities(spark, sf_dir):
     when substr(rest, 1500, 1) = '.' then 1500 else 1500 - strpos(reverse(substr(rest, 1, 1500)), ' .') end as n from cut where rest <> ''))
     select seq, chunk, length(piece) as chars, md5(piece) as piece from cut where chunk > 0""")
 def n01_model_chunks(spark, sf_dir):
-    """Texts cut for a model: after the last sentence of each piece."""
+    """Texts cut for a model: after the last sentence of each piece, one that fills it too."""
 
     @arrow_udf("array<string>")
     def cut(texts: pa.Array) -> pa.Array:
-        return pa.array([ner.chunk(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pa.array([ner.chunk(t or "", look_on=True) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     df = made(spark, sf_dir, "repeat(concat('Line ', cast(k as string), ' of it. '), cast(120 + k % 40 as int))").select("seq", cut("text").alias("parts"))
     return df.select("seq", F.posexplode("parts").alias("at", "part")).select("seq", (F.col("at") + 1).alias("chunk"), F.char_length("part").alias("chars"), F.md5("part").alias("piece"))
