@@ -251,3 +251,32 @@ def test_scores_and_totals(spark):
     assert tuple(report.dashboard_totals(r, v).first()) == (12, 7, 2, 45)
     i = spark.createDataFrame([(["a", "b"], 1, 5), (["b", "a"], 2, 6)], "providers array<string>, imported_at long, n long")
     assert [(x["id"], x["n"]) for x in report.import_summaries(i).collect()] == [("a+b", 6)]
+
+
+def test_search_by_blocks_is_that_of_all_pairs(spark, monkeypatch):
+    """Small blocks, null questions, equal pieces and equal scores: as from all pairs at once."""
+    monkeypatch.setattr(policy, "PIECES", 7)
+    monkeypatch.setattr(policy, "ASKED", 3)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pieces = [(i, rng.choice("xy"), said(4) if i % 3 else "w1 w2 w3") for i in range(60)] + [(None, "x", said(4))]
+    asked = [(i, rng.choice("xyz"), said(3)) for i in range(20)] + [(21, "x", None), (22, "x", "")]
+    rows = spark.createDataFrame(pieces, "id int, tool_id string, chunk_text string")
+    postings = policy.index(rows, ["id"])
+    questions = spark.createDataFrame(asked, "question_id int, tool_id string, question string")
+    result = lambda df: sorted((r["question_id"], r["tool_id"], r["rank"], r["id"], r["score"]) for r in df.collect())
+    got = result(policy.search(questions, postings, ["id"]))
+    assert result(policy.search_pieces(questions, rows, ["id"])) == got
+    weight = {(r["tool_id"], r["term"], r["id"]): r["weight"] for r in postings.collect()}
+    want, pairs = [], {}
+    for q, tool, text in asked:
+        for term in set((text or "").split()):
+            for (t, w, i), x in weight.items():
+                if (t, w) == (tool, term):
+                    pairs.setdefault((q, tool), {}).setdefault(i, 0)
+                    pairs[q, tool][i] += x
+    for (q, tool), of in pairs.items():
+        best = sorted(of, key=lambda i: (-round(of[i], 6), i is not None, i))[: policy.TOP]
+        want += [(q, tool, n + 1, i, round(of[i], 6)) for n, i in enumerate(best)]
+    assert got == sorted(want) and len(got) > 40

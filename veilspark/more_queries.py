@@ -444,7 +444,7 @@ def t04_search(spark, sf_dir):
     """The four best pieces for the text of every twentieth item, among all items of its tool."""
     items = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 3).cast("string").alias("tool_id"), F.col("text").alias("chunk_text"))
     asked = items.where("item_id % 20 = 0").select(F.col("item_id").alias("question_id"), "tool_id", F.col("chunk_text").alias("question"))
-    return policy.search(asked, policy.index(items, ["item_id"]), ["item_id"]).select("question_id", "item_id", "rank", F.round("score", 3).alias("score"))
+    return policy.search_pieces(asked, items, ["item_id"]).select("question_id", "item_id", "rank", F.round("score", 3).alias("score"))
 
 
 @query(ORACLES["t04_search"])
