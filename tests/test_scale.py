@@ -98,3 +98,20 @@ def test_scores_of_a_stream_at_any_day(spark):
     changes = spark.createDataFrame([(1, 19700, 40, 1, 19690, 5, 1), (1, 19702, 30, 1, 19690, 7, 2)], "user_id long, day long, score long, leaked long, first long, at long, place long")
     got = {r["date"]: r["score"] for r in ledger.scores_on(changes, "2023-12-15 00:00:00").collect()}  # day 19706
     assert [got[f"2023-12-{d:02d}"] for d in (9, 10, 11, 12, 13, 14, 15)] == [40, 42, 30, 32, 34, 36, 36]
+
+
+def test_keys_of_a_stream_share_groups(spark, tmp_path, monkeypatch):
+    """Many keys, one of them null, over batches: states go on by key, and there are as many groups as buckets at most."""
+    from veilspark.streaming import live
+
+    monkeypatch.setattr(live, "BUCKETS", 3)
+    schema = "editor string, kind string, version long, findings string, ts timestamp"
+    at = lambda rows: rows.withColumn("ts", F.timestamp_seconds("version"))
+    editor = F.when(F.col("id") > 0, F.col("id").cast("string")).alias("editor")
+    for i, (kind, version) in enumerate([("edit", 2), ("result", 1), ("result", 2), ("edit", 3), ("result", 2)]):  # a batch each
+        at(spark.range(40).coalesce(1).select(editor, F.lit(kind).alias("kind"), F.lit(version).cast("long").alias("version"), F.lit("x").alias("findings"))).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    found = live.fresh_results(stream)
+    assert "_bucket" in found._jdf.queryExecution().analyzed().toString()
+    got = sorted((r["editor"] or "", r["version"]) for r in live.collected(found).collect())
+    assert got == sorted((str(i) if i else "", 2) for i in range(40))

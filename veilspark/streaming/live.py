@@ -18,6 +18,8 @@ _STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spa
 
 # Fixed values, in milliseconds.
 SEND_EXPIRY, GATE_EXPIRY, FRESH, FAILED = 15_000, 600_000, 24 * 3_600_000, 60_000
+#: Groups of keys without timers. A stream keeps to it, as its states lie by bucket.
+BUCKETS = 1 << 15
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_a_batch: int = 1) -> DataFrame:
@@ -116,8 +118,8 @@ def compacted(spark: SparkSession, target: str, most: int, by: str = "ts") -> No
 class _Keyed(StatefulProcessor):
     """Rows of a key in the order of time, with one state between them that a timer ends."""
 
-    def __init__(self, step: Callable, state: str, timed: bool, expiry: Callable, expired: Callable, names: list[str]):
-        self.step, self.state, self.timed, self.expiry, self.expired, self.names = step, state, timed, expiry, expired, names
+    def __init__(self, step: Callable, state: str, expiry: Callable, expired: Callable, names: list[str]):
+        self.step, self.state, self.expiry, self.expired, self.names = step, state, expiry, expired, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -127,19 +129,18 @@ class _Keyed(StatefulProcessor):
         return Row(**dict(zip(self.names, (key[0], *values), strict=True)))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        now = tuple(self.held.get()) if self.held.exists() else None
+        now = self.held.get()
         for row in sorted(rows, key=lambda r: r["_us"]):  # a batch's rows of one key
             made, now = self.step(row.asDict(), now)
             if made is not None:
                 yield self._made(key, made)
-        for old in self.handle.listTimers() if self.timed else ():
+        for old in self.handle.listTimers():
             self.handle.deleteTimer(old)
         if now is None:
             self.held.clear()
             return
         self.held.update(now)
-        if self.timed:
-            self.handle.registerTimer(max(self.expiry(now), timerValues.getCurrentWatermarkInMs() + 1))
+        self.handle.registerTimer(max(self.expiry(now), timerValues.getCurrentWatermarkInMs() + 1))
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         made = self.expired(tuple(self.held.get())) if self.held.exists() else None
@@ -151,21 +152,56 @@ class _Keyed(StatefulProcessor):
         pass
 
 
+class _Bucketed(StatefulProcessor):
+    """Rows of a bucket of keys, each key's in the order of time, with a state of each key between them.
+
+    What a group costs by itself (a batch of results, the calls that set its key) is shared by the bucket's keys; a key
+    costs one call where its state has changed, and one to read it where the bucket has states."""
+
+    def __init__(self, key: str, key_type: str, step: Callable, state: str, names: list[str]):
+        self.key, self.key_type, self.step, self.state, self.names = key, key_type, step, state, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("held", f"{self.key} {self.key_type}", self.state)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        made_row, by_key = Row(*self.names), {}
+        for row in rows:  # a batch's rows of one bucket
+            by_key.setdefault(row[self.key], []).append(row)
+        any_held = self.held.exists()
+        for own, some in by_key.items():
+            before = now = tuple(self.held.getValue((own,))) if any_held and self.held.containsKey((own,)) else None
+            for row in sorted(some, key=lambda r: r["_us"]):
+                made, now = self.step(row.asDict(), now)
+                if made is not None:
+                    yield made_row(own, *made)
+            if now is not None and now != before:
+                self.held.updateValue((own,), now)
+            elif now is None and before is not None:
+                self.held.removeKey((own,))
+
+    def close(self) -> None:
+        pass
+
+
 def _stateful(events: DataFrame, key: str, step: Callable, output: str, state: str, key_type: str, late: str | None = None, expiry: Callable = lambda held: None, expired: Callable = lambda held: None) -> DataFrame:
     """Rows of a key in the order of ts, with a state between them: step(row, state) -> (output or None, state).
     A row's time is in _us, microseconds.
 
     late: how late rows may come. With it the state ends by itself once the stream's time has passed expiry(state), in
-    milliseconds, and expired(state) is put out; so no state stays for ever. Without it, it ends at the key's next row.
+    milliseconds, and expired(state) is put out; so no state stays for ever. Without it, it ends at the key's next row,
+    no key needs a timer, and keys are grouped in BUCKETS buckets: as many groups at most, however many keys.
     State is in RocksDB, on disk, not in an executor's heap."""
     spark = events.sparkSession
     if spark.conf.get(_STORE, None) != _ROCKS:
         spark.conf.set(_STORE, _ROCKS)
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_us", F.unix_micros("ts"))
-    timed = timed if late is None else timed.withWatermark("ts", late)
     names = [key, *(x.strip().split()[0] for x in output.split(","))]
-    processor = _Keyed(step, state, late is not None, expiry, expired, names)
-    return timed.groupBy(key).transformWithState(processor, f"{key} {key_type}, {output}", "append", "none" if late is None else "eventTime")
+    if late is None:
+        dealt = timed.drop("ts").withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        return dealt.groupBy("_bucket").transformWithState(_Bucketed(key, key_type, step, state, names), f"{key} {key_type}, {output}", "append", "none")
+    processor = _Keyed(step, state, expiry, expired, names)
+    return timed.withWatermark("ts", late).groupBy(key).transformWithState(processor, f"{key} {key_type}, {output}", "append", "eventTime")
 
 
 def confirmed_sends(events: DataFrame, late: str | None = None) -> DataFrame:
@@ -221,7 +257,7 @@ def rate_limits(requests: DataFrame, limit: int, seconds: int = 60, late: str |
         start, n = held if held is not None and t < held[0] + seconds * 1000 else (t, 0)
         return (int(row["request_id"]), n + 1 > limit), (start, n + 1)
 
-    return _stateful(requests, "key", step, "request_id long, denied boolean", "start long, n long", "string", late, lambda held: held[0] + seconds * 1000)
+    return _stateful(requests.select("key", "request_id", "ts"), "key", step, "request_id long, denied boolean", "start long, n long", "string", late, lambda held: held[0] + seconds * 1000)
 
 
 def cached_answers(requests: DataFrame, answer: Callable[[str], str | None], late: str | None = None) -> DataFrame:
@@ -236,7 +272,7 @@ def cached_answers(requests: DataFrame, answer: Callable[[str], str | None], lat
             return (int(row["request_id"]), held[0], True), held
         return (int(row["request_id"]), held[0], False), held
 
-    return _stateful(requests, "key", step, "request_id long, answer string, called boolean", "answer string, until long, good boolean", "string", late, lambda held: held[1])
+    return _stateful(requests.select("key", "request_id", "ts"), "key", step, "request_id long, answer string, called boolean", "answer string, until long, good boolean", "string", late, lambda held: held[1])
 
 
 def pending_reviews(events: DataFrame, late: str | None = None) -> DataFrame:
@@ -252,4 +288,4 @@ def pending_reviews(events: DataFrame, late: str | None = None) -> DataFrame:
             return None, held
         return (held[0], "decided" if t <= held[1] else "expired"), None
 
-    return _stateful(events, "tab", step, "review_id long, outcome string", "review_id long, expiry long", "string", late, lambda held: held[1] + 1, lambda held: (held[0], "expired"))
+    return _stateful(events.select("tab", "review_id", "kind", "ts"), "tab", step, "review_id long, outcome string", "review_id long, expiry long", "string", late, lambda held: held[1] + 1, lambda held: (held[0], "expired"))
