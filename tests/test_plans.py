@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilspark.operators import redact
 from veilspark.operators.resolve import detect, exploded
 from veilspark.plans import ledger, policy, report
-from veilspark.schema import COST
+from veilspark.schema import COST, Options
 from veilspark.sources import exports, files
 from veilspark.sources.versions import Versions
 from veilspark.streaming import live
@@ -294,3 +294,31 @@ def test_pages_are_cleaned_a_few_at_a_time():
     made = list(policy.clean_pages(Pages())(iter([html])))
     assert max(b.num_rows for b in made) <= 256
     assert [t.split()[0] for b in made for t in b.column("text").to_pylist()] == [str(i) for i in range(1000) if i % 7]
+
+
+def test_equal_texts_of_a_batch_are_scanned_once(monkeypatch):
+    import pyarrow as pa
+
+    from veilspark.operators import resolve as r
+
+    scanned, made, held = [], r.Text, []
+    monkeypatch.setattr(r, "Text", lambda x: scanned.append(x) or made(x))
+    monkeypatch.setattr(r, "arrow_udf", lambda schema: lambda f: held.append(f) or type("U", (), {"asNondeterministic": lambda self: lambda c: c})())
+    texts = ["write to a@b.example.org", None, "see my lawyer", "write to a@b.example.org", "", "see my lawyer", "write to c@b.example.org"]
+    for settled in (True, False):
+        scanned.clear()
+        r.scanned(None, Options(), settled)
+        got = held[-1](pa.array(texts)).to_pylist()
+        assert sorted(scanned) == sorted({x for x in texts if x})
+        assert [[f["value"] for f in x["found"]] for x in got] == [["a@b.example.org"], [], [], ["a@b.example.org"], [], [], ["c@b.example.org"]]
+        assert [len(x["topics"]) for x in got] == [0, 0, 1, 0, 0, 1, 0]
+
+
+def test_masks_are_not_made_where_nobody_reads_them(spark):
+    """The chart of categories reads no mask; a conversation's messages are grouped once for the riskiest ones."""
+    m = spark.createDataFrame([(i, f"c{i % 3}", None, "", f"write to u{i % 2}@b.example.org") for i in range(12)], "seq long, conversation_id string, created_at timestamp, conversation_url string, text string")
+    hit = report.hits(detect(m))
+    assert "••••••@" not in report.category_chart(hit)._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["masked"], r["weight"]) for r in hit.collect()} == {("u••••••@b.example.org", 5)}
+    plan = report.riskiest(hit, m)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") >= 2

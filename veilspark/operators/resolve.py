@@ -115,12 +115,13 @@ def scanned(text: Column, options: Options, settled: bool = True) -> Column:
     @arrow_udf(f"struct<found:array<{RESOLVED if settled else FINDING}>,topics:array<{FLAG}>>")
     def scan(column: pa.Array) -> pa.Array:
         texts = [x or "" for x in column.to_pylist()]
-        per_row, per_flag = [], []
+        met: dict[str, tuple[list, list]] = {"": ([], [])}  # equal texts of a batch, as short messages often are, are scanned once
         for x in texts:
-            t = Text(x)
-            some = [f for rule in rules for f in rule(t)] if x else []
-            per_row.append(settle(some, x) if settled and some else some)
-            per_flag.append(flags(t) if x else [])
+            if x not in met:
+                t = Text(x)
+                some = [f for rule in rules for f in rule(t)]
+                met[x] = settle(some, x) if settled and some else some, flags(t)
+        per_row, per_flag = [met[x][0] for x in texts], [met[x][1] for x in texts]
         return pa.StructArray.from_arrays([_resolved_column(per_row) if settled else found_column(per_row, texts), flag_column(per_flag)], names=["found", "topics"])
 
     # An explode of the findings has Spark infer a filter of non-empty ones and push it down to the texts, where the pass
