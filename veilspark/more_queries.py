@@ -14,7 +14,7 @@ from .operators import ner, redact, rules
 from .operators.resolve import detect, exploded, full_over_fast
 from .plans import checks, ledger, policy, report
 from .plans.search_index import SearchIndex
-from .queries import _EVENTS, _HITS, _WINDOWS, ORACLES, K, _disclosures, _hits, detector, made, query, table
+from .queries import _EVENTS, _HITS, _WINDOWS, ORACLES, K, _disclosures, _kept_hits, detector, made, query, table
 from .schema import ENTITY_TYPES, entity_table
 from .sources import exports, files, split_exports
 from .sources.versions import Versions
@@ -569,7 +569,7 @@ def w04_score_stream(spark, sf_dir):
     select conversation_id, string_agg(concat(category, ' ', masked), ',' order by s) as examples from (select *, row_number() over (partition by conversation_id order by s) as i from x) t where i <= 6 group by 1""")
 def a11_examples(spark, sf_dir):
     """Up to six different masked examples of each conversation."""
-    risk = report.conversation_risk(_hits(spark, sf_dir))
+    risk = report.conversation_risk(_kept_hits(spark, sf_dir))
     return risk.select("conversation_id", F.array_join(F.transform("examples", lambda e: F.concat(e["type"], F.lit(" "), e["masked"])), ",").alias("examples"))
 
 
