@@ -144,3 +144,17 @@ def test_languages(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !"), (4, "漢字漢字漢字")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in language_id.predict(odd, model).collect()}
     assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[4]["lang_pred"] in {r["lang"] for r in model["centroids"].collect()} and got[4]["rejected"]
+
+
+def test_packing_with_a_small_memory():
+    """Ids don't depend on how many words are remembered, and no more are."""
+    from veilspark.llm import packing
+    from veilspark.llm.queries import vocabulary
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "word's", f"w{rng.randrange(10**6)}", "é,a", "x" * rng.randrange(1, 30)]) for _ in range(40)) for _ in range(60)]
+    small, usual = (packing.WordIds(vocabulary("word_bpe_49k.json"), m) for m in ((300, 200), packing.REMEMBERED))
+    for t in texts:
+        assert small.packed(t) == usual.packed(t)
+        assert len(small.known.words) <= 200 and len(small.known.pieces) <= 300
+    assert len(usual.known.words) > 200

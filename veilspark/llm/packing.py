@@ -37,10 +37,14 @@ from .common import stored
 from .pretokens import WordMemory
 
 
+#: Pieces and words that a worker remembers, and how many where it holds much else. The ids are the same.
+REMEMBERED, FEW_REMEMBERED = (600_000, 800_000), (75_000, 100_000)
+
+
 class WordIds:
     """Ids of whole texts by the library; met words are kept, new ones are encoded many at a time, a space between them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: tuple[int, int] = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,7 +57,7 @@ class WordIds:
         self.mark = commonprefix(special)  # asked for first, as it is cheap
         #: Ids are kept in 16 bits where the vocabulary allows.
         self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
-        self.known = WordMemory(self._find, b"".join)
+        self.known = WordMemory(self._find, b"".join, remembered)
 
     def _find(self, words: list[str]) -> list[bytes]:
         found = []
@@ -71,19 +75,19 @@ class WordIds:
 
 
 @lru_cache(2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, remembered: tuple[int, int]) -> WordIds:
     """One for all tasks of a worker."""
-    return WordIds(path)
+    return WordIds(path, remembered)
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", source: str = "source", remembered: tuple[int, int] = REMEMBERED) -> DataFrame:
     """doc_id, source, ids (binary, 16 or 32 bits each, the end id last), n tokens, part (its partition) and at (tokens of
     its source before it in the partition)."""
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, part, so_far = word_ids(path), TaskContext.get().partitionId(), {}
+        w, part, so_far = word_ids(path, remembered), TaskContext.get().partitionId(), {}
         end, each = np.array([end_id], w.kind).tobytes(), w.kind.itemsize
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
@@ -216,13 +220,13 @@ def queues_of(sources: list[tuple[str, int]], targets: dict[str, float] | None,
     return queues, shares
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, targets: dict[str, float] | None = None, key: str = "doc_id", text: str = "text", source: str = "source", with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, targets: dict[str, float] | None = None, key: str = "doc_id", text: str = "text", source: str = "source", with_ids: bool = True, remembered: tuple[int, int] = REMEMBERED) -> DataFrame:
     """A row for each piece: key, start, length, ids (array<int>), ids_crc32, doc_tokens, sequence_id, offset and source.
 
     targets: shares of the tokens of a window by source; sources that have none share the smallest queue.
-    with_ids=False leaves out the ids."""
+    with_ids=False leaves out the ids. remembered: pieces and words that each worker keeps."""
     spark = docs.sparkSession
-    ids = stored(tokenized(docs, tokenizer, end_id, key, text, source), "packing-ids")
+    ids = stored(tokenized(docs, tokenizer, end_id, key, text, source, remembered), "packing-ids")
     parts = stored(ids.groupBy("source", "part").agg(F.sum("n").alias("n")), "packing-parts")
     # sources with a token or more in a window: at most `size` rows; the rest is one sum for each source's partitions
     total = parts.agg(F.sum("n")).first()[0] or 0

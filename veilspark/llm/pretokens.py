@@ -89,11 +89,12 @@ class Memory:
 class WordMemory:
     """What find() gives for the pieces of word_level(text), one after another.
 
-    A piece never spans white space, so whole blank-separated words are remembered too, joined by `join`."""
+    A piece never spans white space, so whole blank-separated words are remembered too, joined by `join`. Either memory
+    holds `most` entries at most, or those of one text."""
 
-    def __init__(self, find: Callable[[list[str]], Iterable], join: Callable[[Iterable], object]):
-        self.join, self.pieces = join, Memory(find)
-        self.words = Memory(self._whole, 800_000)
+    def __init__(self, find: Callable[[list[str]], Iterable], join: Callable[[Iterable], object], most: tuple[int, int] = (600_000, 800_000)):
+        self.join, self.pieces = join, Memory(find, most[0])
+        self.words = Memory(self._whole, most[1])
 
     def _whole(self, words: list[str]) -> list:
         split = list(map(_WORD_PLAIN, words))
