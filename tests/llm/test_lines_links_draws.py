@@ -191,6 +191,19 @@ def test_ids_are_those_of_the_libraries(rows_of, odd):
             assert got[i]["a"] == a.encode(" " + t, add_special_tokens=False).ids and got[i]["b"] == b.encode(t)
 
 
+def test_links_need_no_function_of_elements(rows_of):
+    """Functions of elements are evaluated one element at a time: alignment is whole arrays in the pass that makes the tokens."""
+    found = alignment.aligned(rows_of(["the tokens, of both", None, ""]), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    assert "lambda" not in found._jdf.queryExecution().toString()
+    a, b = spelled()
+    rows = {r["doc_id"]: r for r in found.collect()}
+    sides = [g.split("|") for g in rows[0]["groups"].split(";")]
+    assert [int(x) for s in sides for x in s[0].split(",")] == a.encode(" the tokens, of both", add_special_tokens=False).ids
+    assert [int(x) for s in sides for x in s[1].split(",")] == b.encode("the tokens, of both")
+    assert rows[0]["n_groups"] == len(sides) and rows[0]["n_single"] == sum("," not in x + y for x, y in sides)
+    assert [(rows[i]["n_a"], rows[i]["groups"], rows[i]["links"]) for i in (1, 2)] == [(0, "", [])] * 2
+
+
 def test_empty_tables_have_no_rows(spark, rows_of):
     none = rows_of(["x"]).where("doc_id < 0")
     assert line_dedup.digest(none).count() == 0

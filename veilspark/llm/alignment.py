@@ -1,11 +1,9 @@
 """Cross-tokenizer alignment (operator 12): which tokens of two vocabularies cover the same bytes of a text.
 
-Texts are tokenised in one Arrow pass that returns ids and byte ends of both vocabularies. All else is array functions:
-the ends that both have (array_intersect) cut the tokens into groups. Two tokens overlap in one stretch of bytes without
-any end inside, so each end of either vocabulary stands for one link. Where both have an end, both go on to their next
-token; where only one has, the other's token is in one more link. So both arrays of ids, with tokens repeated at the
-other's own ends, stand side by side link for link, and functions of elements run over own ends and results only.
-Everything is in proportion to the tokens, or the sort of their ends.
+Texts are tokenised and aligned in one Arrow pass. The ends that both vocabularies have cut the tokens into groups. Two
+tokens overlap in one stretch of bytes without any end inside, so each end of either vocabulary stands for one link: of the
+tokens that it ends, or that go on over it. Running counts of both vocabularies' ends over a text's bytes say which these
+are, and where in its groups' text each token stands. Everything is whole arrays, in proportion to the bytes.
 
 A pair of ids is counted once for each document that links it. Documents take the counts back by a broadcast of the pairs
 where these are few enough, which is looked at, else by a shuffled join in which hot pairs go apart.
@@ -18,12 +16,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import tiktoken
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import Ragged, per_text
@@ -37,8 +34,6 @@ BROADCAST = 2_000_000
 #: Characters tokenised at once.
 _AT_ONCE = 1 << 20
 _LONG_BLANK = re.compile(r"\s{1000}")
-#: Of so many ends one is looked at first in a search.
-BLOCK = 16
 
 
 class Tokenizers:
@@ -59,6 +54,7 @@ class Tokenizers:
         spelled = {i: t for t, i in held["model"]["vocab"].items()}
         self.a_tokens = Ragged([bytes(byte_of[c] for c in spelled.get(i, "") if c in byte_of) for i in range(max(spelled) + 1)])
         self.b_tokens = Ragged([self._piece(i) for i in range(self.b.get_piece_size())])
+        self.numbers = _numbers(max(len(self.a_tokens.length), len(self.b_tokens.length)))
         #: The same vocabulary in another library, many times faster, where its ranks are its ids and its pre-tokens usual ones.
         self.fast = self._by_rank(held, byte_of)
 
@@ -106,122 +102,66 @@ def tokenizers(byte_level: str, pieces: str) -> Tokenizers:
     return Tokenizers(byte_level, pieces)
 
 
+def _of_both(t: Tokenizers, texts: list[str | None]) -> list[tuple]:
+    """t.both of each text, about _AT_ONCE characters at a time."""
+    rows: list[tuple] = [([], [], [], [])] * len(texts)
+    some, size = [], 0
+    for i, x in enumerate(texts):
+        if x:
+            some.append(i)
+            size += len(x)
+        if some and (size >= _AT_ONCE or i == len(texts) - 1):
+            for j, found in zip(some, t.both([texts[j] for j in some]), strict=True):
+                rows[j] = found
+            some, size = [], 0
+    return rows
+
+
 def tokenised(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, a and b (ids), ends_a and ends_b (the byte behind each token) of each row."""
 
     def make():
         t = tokenizers(byte_level, pieces)
-
-        def run(texts: list[str | None]) -> tuple:
-            rows: list[tuple] = [([], [], [], [])] * len(texts)
-            some, size = [], 0
-            for i, x in enumerate(texts):
-                if x:
-                    some.append(i)
-                    size += len(x)
-                if some and (size >= _AT_ONCE or i == len(texts) - 1):
-                    for j, found in zip(some, t.both([texts[j] for j in some]), strict=True):
-                        rows[j] = found
-                    some, size = [], 0
-            if some:
-                for j, found in zip(some, t.both([texts[j] for j in some]), strict=True):
-                    rows[j] = found
-            return tuple(zip(*rows)) if rows else ([], [], [], [])
-
-        return run
+        return lambda texts: tuple(zip(*_of_both(t, texts))) if texts else ([], [], [], [])
 
     return per_text(docs, make, "a array<int>, ends_a array<int>, b array<int>, ends_b array<int>", key, text)
 
 
-def _let(body: Callable[..., Column], **values: Column) -> Column:
-    """body of the values, each evaluated once however often the body, or a function in it, uses it."""
-    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), lambda s: body(**{k: s[k] for k in values}))[0]
-
-
-def _indexes(n: Column) -> Column:
-    """0 to n - 1."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
-def _until(sorted_: Column, some: Column) -> Column:
-    """For each of some, how many of sorted_ are at or before it. Both are sorted; equal ones may repeat in sorted_."""
-    tagged = F.sort_array(F.concat(F.transform(sorted_, lambda e: e.cast("bigint") * 2), F.transform(some, lambda e: e.cast("bigint") * 2 + 1)))
-    places = F.filter(F.transform(tagged, lambda x, p: F.when(x % 2 == 1, p)), lambda p: p.isNotNull())
-    return F.transform(places, lambda p, i: p - i)
-
-
-def _places(sorted_: Column, some: Column) -> Column:
-    """Where in sorted_ each of some stands, from 0. some are members, sorted: one in BLOCK of sorted_ is looked at first."""
-
-    def within(s: Column, some: Column) -> Column:
-        heads = F.transform(_indexes(F.ceil(F.size(s) / BLOCK).cast("int")), lambda b: F.element_at(s, b * BLOCK + 1))
-        return _let(
-            lambda s, some, upto: F.transform(some, lambda x, i: (F.element_at(upto, i + 1) - 1) * BLOCK + F.array_position(F.slice(s, (F.element_at(upto, i + 1) - 1) * BLOCK + 1, F.lit(BLOCK)), x).cast("int") - 1),
-            s=s, some=some, upto=_until(heads, some),
-        )
-
-    return _let(within, s=sorted_, some=some)
-
-
-def _repeated(ids: Column, after: Column) -> Column:
-    """ids with the one after the first n once more, for each n of after: a token is in a link for each part of it."""
-    start = lambda k: F.when(k == 0, 0).otherwise(F.element_at(after, k))
-    n = F.size(after)
-    parts = F.transform(_indexes(n), lambda k: F.slice(ids, start(k) + 1, F.element_at(after, k + 1) - start(k) + 1))
-    return F.concat(F.flatten(parts), F.slice(ids, start(n) + 1, F.size(ids) - start(n)))
-
-
-def _marks(a: Column, b: Column, which: Column, upto_a: Column, upto_b: Column) -> Column:
-    """For each link null if it is a group by itself, else the text `a1,a2|b1` of its group for the group's first link and
-    `-` for its others. which: the groups of more than two tokens, upto_*: how many own ends up to each."""
-
-    def ends(q: Column, upto: Column) -> Column:  # behind the q-th group of several tokens, counted from 1
-        return F.when(q == 0, 0).otherwise(F.element_at(which, q) + F.element_at(upto, q) + 1)
-
-    def start(q: Column, upto: Column) -> Column:  # of the next one's tokens
-        return F.element_at(which, q + 1) + F.when(q == 0, 0).otherwise(F.element_at(upto, q))
-
-    def group(start_a: Column, end_a: Column, start_b: Column, end_b: Column, alone: Column) -> Column:
-        side = lambda ids, x, y: F.array_join(F.slice(ids, x + 1, y - x), ",")
-        text = F.concat_ws("|", side(a, start_a, end_a), side(b, start_b, end_b))
-        return F.concat(F.array_repeat(F.lit(None).cast("string"), alone), F.array(text), F.array_repeat(F.lit("-"), end_a - start_a + end_b - start_b - 2))
-
-    def part(q: Column) -> Column:
-        return _let(group, start_a=start(q, upto_a), end_a=ends(q + 1, upto_a), start_b=start(q, upto_b), end_b=ends(q + 1, upto_b), alone=start(q, upto_a) - ends(q, upto_a))
-
-    n = F.size(which)
-    return F.concat(F.flatten(F.transform(_indexes(n), part)), F.array_repeat(F.lit(None).cast("string"), F.size(a) - ends(n, upto_a)))
-
-
-def _text(marks: Column, links_a: Column, links_b: Column) -> Column:
-    """`a1,a2|b1;a3|b2,b3` of all groups, from [{mark, a, b}, ...] of all links: as text, whole arrays are gone through at once."""
-    listed = F.arrays_zip(marks.alias("m"), links_a.alias("a"), links_b.alias("b")).cast("string")
-    listed = F.regexp_replace(listed, r"\{null, (\d+), (\d+)\}", "$1|$2")
-    listed = F.regexp_replace(listed, r", \{-, \d+, \d+\}", "")
-    listed = F.regexp_replace(listed, r"\{([^ ]+), \d+, \d+\}", "$1")
-    return F.btrim(F.replace(listed, F.lit(", "), F.lit(";")), F.lit("[]"))
+def _numbers(most: int) -> np.ndarray:
+    """The decimals of 0 to most - 1 before a comma, then before a bar, then before a semicolon."""
+    decimals = np.arange(most).astype(f"S{len(str(most))}")
+    return np.concatenate([np.char.add(decimals, behind) for behind in (b",", b"|", b";")])
+
+
+def _groups(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray, numbers: np.ndarray) -> tuple:
+    """n_a, n_b, n_groups, n_single, groups and links of the tokens of a text, see aligned."""
+    if not len(a):
+        return 0, 0, 0, 0, b"", []
+    in_a, in_b = np.zeros(ends_a[-1] + 1, bool), np.zeros(ends_a[-1] + 1, bool)
+    in_a[ends_a], in_b[ends_b] = True, True
+    upto_a, upto_b = np.cumsum(in_a, dtype=np.int32), np.cumsum(in_b, dtype=np.int32)
+    ends, cuts = np.flatnonzero(in_a | in_b), np.flatnonzero(in_a & in_b)
+    links = (a[upto_a[ends] - in_a[ends]].astype(np.int64) << 32) + b[upto_b[ends] - in_b[ends]]
+    after_a, after_b = upto_a[cuts], upto_b[cuts]
+    size_a, size_b = np.diff(after_a, prepend=0), np.diff(after_b, prepend=0)
+    # tokens of A stand behind those of B of all groups before, tokens of B behind those of A of their own group too
+    place_a, place_b = np.arange(len(a)) + np.repeat(after_b - size_b, size_a), np.arange(len(b)) + np.repeat(after_a, size_b)
+    which, most = np.empty(len(a) + len(b), np.int64), len(numbers) // 3
+    which[place_a], which[place_b] = a, b
+    which[place_a[after_a - 1]] += most
+    which[place_b[after_b - 1]] += 2 * most
+    return len(a), len(b), len(cuts), int(((size_a == 1) & (size_b == 1)).sum()), numbers[which].tobytes().translate(None, b"\0")[:-1], links
 
 
 def aligned(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_a, n_b, n_groups, n_single (groups of one token each), groups (`a1,a2|b1;a3|b2,b3`) and links (pairs of ids,
-    A's in the upper half of a long, in order) of each row.
-
-    Step by step, as every array is used several times by the next step. The k-th token with an end of its own, at place
-    i, is in group i - k, together with its successor."""
-    t = tokenised(docs, byte_level, pieces, key, text)
-    t = t.select("*", F.array_intersect("ends_a", "ends_b").alias("common"))
-    t = t.select("*", F.array_except("ends_a", "common").alias("only_a"), F.array_except("ends_b", "common").alias("only_b"))
-    t = t.select("*", _places(F.col("ends_a"), F.col("only_a")).alias("at_a"), _places(F.col("ends_b"), F.col("only_b")).alias("at_b"))
-    group = lambda c: F.transform(c, lambda i, k: i - k)
-    t = t.select("*", group(F.col("at_a")).alias("group_a"), group(F.col("at_b")).alias("group_b"))
-    # tokens of the other vocabulary before an own end: as many with common ends as groups, and others
-    before = lambda own, other, mine: F.zip_with(F.col(own), _until(F.col(other), F.col(mine)), lambda x, y: x + y)
-    t = t.select("*", before("group_b", "only_a", "only_b").alias("before_b"), before("group_a", "only_b", "only_a").alias("before_a"), F.sort_array(F.array_union("group_a", "group_b")).alias("which"))
-    t = t.select("*", _until(F.col("group_a"), F.col("which")).alias("upto_a"), _until(F.col("group_b"), F.col("which")).alias("upto_b"), _repeated(F.col("a"), F.col("before_b")).alias("links_a"), _repeated(F.col("b"), F.col("before_a")).alias("links_b"))
-    pairs = F.zip_with("links_a", "links_b", lambda x, y: F.shiftleft(x.cast("bigint"), 32) + y)
-    sizes = [F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("common").alias("n_groups"), (F.size("common") - F.size("which")).alias("n_single")]
-    t = t.select("*", _marks(*[F.col(c) for c in ("a", "b", "which", "upto_a", "upto_b")]).alias("marks"))
-    return t.select(key, *sizes, _text(F.col("marks"), F.col("links_a"), F.col("links_b")).alias("groups"), pairs.alias("links"))
+    A's in the upper half of a long, in order) of each row."""
+
+    def make():
+        t = tokenizers(byte_level, pieces)
+        return lambda texts: tuple(zip(*(_groups(*found, t.numbers) for found in _of_both(t, texts)))) if texts else ([], [], [], [], [], [])
+
+    return per_text(docs, make, "n_a int, n_b int, n_groups int, n_single int, groups string, links array<bigint>", key, text)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
